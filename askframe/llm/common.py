@@ -59,3 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
 def hash128(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of the same values, to be used together as one 128-bit name."""
     return [F.xxhash64(F.lit(7), *columns), F.xxhash64(F.lit(1_000_003), *columns, F.lit(11))]
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row, whatever uses it.
+
+    Filters that the optimizer infers and pushes down, and projections that it merges, would copy a costly expression
+    into each place that refers to it, even into the body of a lambda. Nothing is moved through a generator.
+    """
+    kept = [F.col(c) for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
