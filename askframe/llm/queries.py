@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import bpe, decontam, licenses, linededup, media, pii, toxicity
+from askframe.llm import bpe, chat, decontam, licenses, linededup, media, pii, toxicity
 from askframe.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_toxicity": op2_toxicity,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
         "op9_media_columns": op9_media_columns,
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.SQL,
+        "op5_chat_format": chat.SQL,
         "op6_decontamination": decontam.SQL,
         "op7_license_scan": licenses.SQL,
     }
