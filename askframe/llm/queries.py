@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import bpe, chat, decontam, licenses, linededup, media, pii, toxicity
+from askframe.llm import bpe, chat, decontam, licenses, linededup, media, ngramjoin, pii, toxicity
 from askframe.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.link(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
     # the id and the unpadded length travel as one key beside the image
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_media_columns": op9_media_columns,
         "op10_pii": op10_pii,
     }
