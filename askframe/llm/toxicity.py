@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import map_texts
+from askframe.llm.common import cut, map_texts
 
 #: Labelled rows that the trees are fitted on, at most: those of the smallest hash of text and id.
 FIT_ROWS = 40_000
+#: Labelled rows up to which their ids, hashes and labels are broadcast to the texts.
+BROADCAST_ROWS = 1_000_000
 #: Entries of the learned lexicon, at most: those of the largest weight.
 LEXICON_ROWS = 20_000
 #: A term is learned if so many labelled texts hold it and its odds in toxic texts are so many times those elsewhere.
@@ -234,14 +236,13 @@ def remainder(id_col: str) -> Column:
 def learn_lexicon(rows: DataFrame, most: int = LEXICON_ROWS) -> Lexicon:
     """Words and word beginnings whose odds are much higher in toxic texts, from columns ``t`` and ``y``.
 
-    Equal texts count once. The counts cover all rows given; of the terms that pass, at most ``most`` of each kind of
-    the largest weight come to the driver.
+    The counts cover all rows given; of the terms that pass, at most ``most`` of each kind of the largest weight come to
+    the driver.
     """
-    low = F.lower("t")
-    unique = rows.groupBy(F.xxhash64("t").alias("h"), F.length("t").alias("n"), "t").agg(F.max("y").alias("y"))
-    each = unique.select("y", F.explode_outer(F.array_distinct(F.split(low, r"[^\p{L}]+", -1))).alias("w")).where("w != ''")
-    counts = each.groupBy("w").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("all"))
-    total = unique.agg(F.sum("y"), F.count(F.lit(1))).first()
+    found = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+", -1))
+    each = rows.select("y", F.explode_outer(found).alias("w")).where("w != ''")
+    counts = cut(each.groupBy("w").agg(F.sum("y").cast("int").alias("pos"), F.count(F.lit(1)).cast("int").alias("all")))
+    total = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
     pos, neg = float(total[0] or 0), float((total[1] or 0) - (total[0] or 0))
     if not pos or not neg:
         return Lexicon()
@@ -257,24 +258,31 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON_ROWS) -> Lexicon:
     return Lexicon(top(counts), top(stems))
 
 
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model from labelled rows, those with remainder 1 left out.
 
-    The lexicon counts all of them. Trees and calibration use at most ``fit_rows`` rows, those of the smallest hash, and
-    learn from different ones: three of four for the trees, the fourth for the calibration. Rows without a label, an id
-    or a text, and labels other than 0 and 1, teach nothing.
+    The lexicon counts all of them, equal texts once. Trees and calibration use at most ``fit_rows`` rows, those of the
+    smallest hash, and learn from different ones: three of four for the trees, the fourth for the calibration. Rows
+    without a label, an id or a text, and labels other than 0 and 1, teach nothing. Labelled ids are joined before any
+    text is: texts are only shuffled where there are more than BROADCAST_ROWS labelled rows.
     """
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null")
-    taught = texts.where(F.coalesce(remainder("k"), F.lit(1)) != 1).join(known, "k")
-    lexicon = learn_lexicon(taught)
-    chosen = taught.select("t", "y", F.xxhash64("k", "t").alias("h")).orderBy("h").limit(fit_rows)
-    keyed = chosen.select(F.struct("y", "h").alias("key"), "t")
-    # the words of a text are part of what taught the lexicon; that is so for clean and toxic texts alike
-    rows = map_texts(keyed, "key", "t", "x array<double>", _feature_columns(lexicon)).select("key.y", "key.h", "x").collect()
-    rows.sort(key=lambda r: r["h"])
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").where(F.coalesce(remainder("k"), F.lit(1)) != 1)
+    hashed = texts.withColumn("h", F.xxhash64("t"))
+    taught = cut(hashed.select("k", "h").join(_small(known.distinct()), "k"))
+    unique = cut(taught.groupBy("h").agg(F.min("k").alias("k"), F.max("y").alias("y")))
+    lexicon = learn_lexicon(hashed.join(_small(unique), ["k", "h"]).select("t", "y"))
+    # a bounded number of keys, whatever the number of labels
+    chosen = cut(taught.select("k", "h", "y", F.xxhash64("k", "h").alias("o")).orderBy("o", "y").limit(fit_rows))
+    keyed = hashed.join(F.broadcast(chosen), ["k", "h"]).select(F.struct("y", "o").alias("key"), "t")
+    rows = map_texts(keyed, "key", "t", "x array<double>", _feature_columns(lexicon)).select("key.y", "key.o", "x").collect()
+    rows.sort(key=lambda r: (r["o"], r["y"], r["x"]))
     x, y = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], float)
-    fold = np.array([r["h"] % 4 == 0 for r in rows], bool)
+    fold = np.array([r["o"] % 4 == 0 for r in rows], bool)
     if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:
         fold = np.zeros(len(y), bool)
     if len(set(y)) < 2:
