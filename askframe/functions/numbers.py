@@ -41,15 +41,16 @@ def take(words: list[str], at: int) -> tuple[Decimal, int] | None:
         value = _simple(word)
         literal = value is not None and word not in _UNITS and word not in _TENS
         following = words[i + 1] if i + 1 < len(words) else ""
+        first = i == at or (i == at + 1 and words[at] in ("a", "an"))
         if value is not None and current is None and (i == at or not literal):
             if total and value >= scale:
                 break
             current = value
         elif value is not None and current is not None and _joins(current, value, literal):
             current += value
-        elif word == "hundred" and (current is None and i == at or current is not None and current < 100):
+        elif word == "hundred" and (current is None and first or current is not None and current < 100):
             current = (1 if current is None else current) * 100
-        elif word in _SCALES and (current is not None or i == at and word not in ("k", "m", "bn")) and _SCALES[word] < scale:
+        elif word in _SCALES and (current is not None or first and word not in ("k", "m", "bn")) and _SCALES[word] < scale:
             scale = Decimal(_SCALES[word])
             total, current = total + (1 if current is None else current) * scale, None
         elif word in ("a", "an") and i == at and following in ("hundred", *_SCALES):
