@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,6 @@ def map_texts(
     ``text`` are read, so other columns of ``df``, whatever their names, neither clash nor cost anything.
     """
     source = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    kind = source.schema["k"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
@@ -38,9 +37,9 @@ def map_texts(
                 arrays = [part.column(0), *fn(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = source.sparkSession.createDataFrame([], out_schema).schema
-    names = ["k", *out.fieldNames()]
-    return source.mapInArrow(run, f"k {kind}, {out_schema}").withColumnRenamed("k", key)
+    out = T.StructType([source.schema["k"], *T._parse_datatype_string(out_schema).fields])
+    names = out.fieldNames()
+    return source.mapInArrow(run, out).withColumnRenamed("k", key)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -113,7 +113,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = cut(keyed.where("x is not null and y is not null").distinct())
     place = F.struct("_null", "_k", "_h", "s")
     first_copy = keyed.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = keyed.join(first_copy, ["m", "x", "y"]).where(F.col("first") < place)
+    # materialised, the first copies get an exchange of their own, and Spark can split the join at a run with many copies
+    later = keyed.join(cut(first_copy), ["m", "x", "y"]).where(F.col("first") < place)
     gone = later.select(*_DOC, F.explode(F.sequence("s", "e")).alias("_i")).distinct()
     numbers = rows.select(*_DOC, "_i", "_at").distinct()
     return gone.join(numbers, [*_DOC, "_i"]).groupBy(*_DOC).agg(F.sort_array(F.collect_list("_at")).alias("_lines"))
@@ -133,11 +134,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     size = gone.agg(F.sum(F.size("_lines"))).first()[0] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_LINES else gone
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    keyed = df.select(*kept, *doc_key(id_col, text_col))
-    lines = F.split(F.col(text_col), "\n", -1)
+    # the row travels as one struct, so that none of its columns meets one of ours
+    keyed = df.select(F.struct(*kept).alias("_row"), *doc_key(id_col, text_col))
+    lines = F.split(F.col(f"_row.`{text_col}`"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    own = {c: F.col(f"_row.`{c}`") for c in kept}
+    own[text_col] = F.when(F.col("_lines").isNull(), own[text_col]).otherwise(left)
     return keyed.join(gone, _DOC, "left").select(
-        *[F.when(F.col("_lines").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in kept],
+        *[column.alias(c) for c, column in own.items()],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"),
     )

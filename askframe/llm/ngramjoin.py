@@ -4,8 +4,9 @@ A document is the set of its distinct word shingles. If two sets have a Jaccard
 of all tokens their prefixes (the first |x| - ceil(t|x|) + 1 tokens) meet. Orders put tokens that many prefixes hold
 last, and differ in how they order the rest. Sets that are equal are one node from the start.
 
-Links are looked for in two steps. First each node is compared with one partner only, the smallest node that shares
-most of its prefix tokens; what links is joined into components. Then the tokens whose nodes lie in more than one
+Links are looked for in two steps. First each node is compared with one partner only: for each token the node leads
+whose prefix tokens most others share, and a node's partner is the leader of most of its tokens. What links is joined
+into components. Then the tokens whose nodes lie in more than one
 component give all pairs across components that pass the filters of every order, and those are compared too. A pair
 within one component needs no comparison, so a group of thousands of near copies costs about as many comparisons as it
 has members, and still no link between components is lost.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askframe.llm.common import cut, map_texts
@@ -26,14 +27,26 @@ from askframe.llm.components import components
 
 #: Words of a shingle and the least similarity of a link, in hundredths.
 WORDS, PERCENT = 4, 85
-#: Slots of the table of token levels. Its size is fixed, whatever the corpus: a slot has the largest count of its tokens.
-SLOTS = 1 << 21
-#: Counts of prefixes at which a token's level rises by one; tokens of higher levels come later in every order.
+#: Nodes to compare up to which their ids are broadcast to the texts; beyond, both sides are shuffled.
+BROADCAST_NODES = 500_000
+#: Tokens with a hash in the lowest part of this size, in prefixes' lengths, are counted. Prefixes lie there, but for those
+#: of short texts and of texts with many frequent tokens; tokens elsewhere count as repeated but not frequent.
+BAND = 1.45
+#: Slots of the table of token levels, and bits of the filter for repeated tokens. Both have a fixed size, whatever the
+#: corpus: a slot has the largest level of its tokens, and a false bit or level costs time, never a link.
+SLOTS, BITS = 1 << 21, 1 << 26
+#: Share of frequent tokens in the band from which the other tokens of a text are counted, too.
+FREQUENT = 0.25
+#: Counts at which a token's level rises by one; tokens of higher levels come later in every order.
 LEVELS = (12, 50, 200, 800, 3200, 12800, 51200)
 
-_MASK = np.uint64(SLOTS - 1)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _ORDERS = np.array([1, 0xA0761D6478BD642F], np.uint64)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xB5297A4D3F84D5B5
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,100 +55,171 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_ids(text: str, seen: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of the words: A-Z lower-cased, split at ASCII white space. ``seen`` keeps those of earlier words."""
-    out = []
-    for word in text.encode("utf-8", "surrogatepass").lower().split():
-        if (found := seen.get(word)) is None:
-            found = seen[word] = xxhash.xxh3_64_intdigest(word)
-        out.append(found)
-    return np.array(out, np.uint64)
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingle_set(text: str, n: int, seen: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles; one of the whole sequence if there are fewer words."""
-    ids = word_ids(text, seen)
-    if not len(ids):
-        return ids
-    size = min(n, len(ids))
-    total = np.full(len(ids) - size + 1, size, np.uint64)
-    for k in range(size):
-        total = _mix(total * _STEPS[k % 4] + ids[k : len(ids) - size + 1 + k])
-    return np.unique(total)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Shingler:
+    """Shingle sets of texts, as sorted distinct 64-bit hashes of their word sequences."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.up, self.down = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
+
+    def words(self, text: str) -> np.ndarray:
+        """A hash of each word: A-Z lower-cased, split at ASCII white space.
+
+        With running sums of the bytes' numbers times powers of a base, a word's polynomial is a difference of two sums,
+        moved to the front by the inverse power.
+        """
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
+        if len(data) >= len(self.up):
+            size = max(len(data) + 1, 2 * len(self.up))
+            self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * self.up[: len(data)], out=sums[1:])
+        edges = np.diff(np.r_[True, _SPACE[data], True].astype(np.int8))
+        start, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def __call__(self, text: str) -> np.ndarray:
+        """One shingle of the whole sequence if there are fewer words than n, none without words."""
+        ids = self.words(text)
+        if not len(ids):
+            return ids
+        size = min(self.n, len(ids))
+        total = np.full(len(ids) - size + 1, size, np.uint64)
+        for k in range(size):
+            total = total * _STEPS[k % 4] + ids[k : len(ids) - size + 1 + k]
+            total ^= total >> np.uint64(29)
+        return np.unique(_mix(total))
 
 
 def prefix_length(size: int, percent: int) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
-class Shingler:
-    """Shingle sets of texts one after the other, with a bounded memory of words."""
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(kind)))
 
-    def __init__(self, n: int) -> None:
-        self.n, self.seen = n, {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        return shingle_set(text, self.n, self.seen)
+def _band(percent: int) -> np.uint64:
+    return np.uint64(min(int(BAND * (100 - percent) / 100 * 2**64), 2**64 - 1))
 
 
-def _first_tokens(n: int, percent: int):
-    made: list[Shingler] = []
+def _low_tokens(n: int, band: np.uint64):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                sets = [shingler(t) for t in batch.column(0).slice(start, 1024).to_pylist()]
+                low = [s[: np.searchsorted(s, band)] for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low).view(np.int64))], names=["x"])
 
-    def run(texts: list[str]) -> list[pa.Array]:
-        if not made:
-            made.append(Shingler(n))
-        sets = [made[0](t) for t in texts]
-        low = [s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-        offsets = np.cumsum([0, *map(len, low)], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))]
+    return run
+
+
+def _rest_of_frequent(n: int, band: np.uint64, shared):
+    """Tokens beyond the band of the texts in which a share of FREQUENT or more of those in it are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, levels = Shingler(n), shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                found = [np.zeros(0, np.uint64)]
+                for text in batch.column(0).slice(start, 1024).to_pylist():
+                    tokens = shingler(text)
+                    low = np.searchsorted(tokens, band)
+                    frequent = np.count_nonzero(levels[tokens[:low] & np.uint64(SLOTS - 1)])
+                    if low and frequent >= FREQUENT * low:
+                        found.append(tokens[low:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["x"])
 
     return run
 
 
-def token_levels(docs: DataFrame, text: str, n: int, percent: int) -> np.ndarray:
-    """For each slot, the level of its most frequent token, counted over the prefixes of all texts in order of hash."""
-    tokens = map_texts(docs.select(F.lit(0).alias("k"), text), "k", text, "tokens array<bigint>", _first_tokens(n, percent))
-    counts = tokens.select(F.explode_outer("tokens").alias("x")).where("x is not null").groupBy("x").count().where(F.col("count") >= LEVELS[0])
-    slot = F.col("x").bitwiseAND(SLOTS - 1).cast("int")
-    level = sum(((F.col("count") >= at).cast("int") for at in LEVELS[1:]), F.lit(1)).cast("tinyint")
-    slots = counts.select(slot.alias("slot"), level.alias("level")).groupBy("slot").agg(F.max("level").alias("level"))
-    levels = np.zeros(SLOTS, np.uint8)
-    found = slots.toArrow()
-    levels[found["slot"].to_numpy()] = found["level"].to_numpy()
-    return levels
+def _levels(counts: DataFrame, levels: np.ndarray) -> np.ndarray:
+    """``levels`` raised to those of counted tokens. At most a row for each slot comes to the driver."""
+    level = sum(((F.col("count") >= at).cast("int") for at in LEVELS), F.lit(0)).cast("tinyint")
+    slots = counts.select(F.col("x").bitwiseAND(SLOTS - 1).cast("int").alias("slot"), level.alias("level")).where("level > 0")
+    found = slots.groupBy("slot").agg(F.max("level").alias("level")).toArrow()
+    out = levels.copy()
+    np.maximum.at(out, found["slot"].to_numpy(), found["level"].to_numpy().astype(np.uint8))
+    return out
+
+
+def token_table(texts: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each slot, and the bits of the filter for repeated tokens.
+
+    The tokens of the band are counted in all texts. Texts with many frequent ones may be members of a large group,
+    whose prefixes reach beyond the band, so the levels of all their tokens are counted as well.
+    """
+    context, band = texts.sparkSession.sparkContext, _band(percent)
+    counts = cut(texts.select("t").mapInArrow(_low_tokens(n, band), "x bigint").groupBy("x").count().where("count > 1"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    bit = F.col("x").bitwiseAND(BITS - 1) + 1
+    made = counts.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    for at, some in zip(made["at"].to_pylist(), made["bits"].to_pylist(), strict=True):
+        bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(some, np.uint8)
+    levels = _levels(counts, np.zeros(SLOTS, np.uint8))
+    rest = texts.select("t").mapInArrow(_rest_of_frequent(n, band, context.broadcast(levels)), "x bigint")
+    return _levels(rest.groupBy("x").count().where(F.col("count") >= LEVELS[0]), levels), bits
 
 
 def _order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     """A number for each token that sorts by level and then by hash in this order, and tells tokens apart."""
     hashed = tokens if order == 0 else _mix(tokens * _ORDERS[order])
-    return (levels[tokens & _MASK].astype(np.uint64) << np.uint64(59)) | (hashed >> np.uint64(5))
-
-
-_PROFILE = "node binary, n int, p1 array<bigint>, p2 array<bigint>"
+    return (levels[tokens & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(60)) | (hashed >> np.uint64(4))
 
 
 def _profiles(n: int, percent: int, shared):
     made: list[Shingler] = []
+    band = _band(percent)
 
     def run(texts: list[str]) -> list[pa.Array]:
         if not made:
             made.append(Shingler(n))
-        levels = shared.value
-        nodes, sizes, prefixes = [], [], ([], [])
+        levels, bits = shared.value
+        nodes, sizes, prefix, places, lasts = [], [], [], [], []
         for text in texts:
             tokens = made[0](text)
             nodes.append(xxhash.xxh3_128_digest(tokens.tobytes()))
             sizes.append(len(tokens))
             length = prefix_length(len(tokens), percent) if len(tokens) else 0
-            for order in (0, 1):
-                prefixes[order].append(np.sort(_order_keys(tokens, levels, order))[:length].view(np.int64))
-        lists = []
-        for some in prefixes:
-            offsets = np.cumsum([0, *map(len, some)], dtype=np.int32)
-            lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(some) if some else np.zeros(0, np.int64))))
-        return [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *lists]
+            keys = _order_keys(tokens, levels, 0)
+            order = np.argsort(keys, kind="stable")[:length]
+            first = tokens[order]
+            lasts.append(int(keys[order[-1]].view(np.int64)) if length else 0)
+            slot = first & np.uint64(BITS - 1)
+            shown = bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+            at = np.flatnonzero(shown.astype(bool) | (first >= band))
+            prefix.append(first[at])
+            places.append(at.astype(np.int32))
+        return [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(lasts, pa.int64()), _lists(prefix, np.int64), _lists(places, np.int32)]
+
+    return run
+
+
+def _second_prefix(n: int, percent: int, shared):
+    """Prefixes in the second order as 32-bit numbers; tokens that fall together only loosen the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, levels = Shingler(n), shared.value[0]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part, found = batch.slice(start, 256), []
+                for text in part.column(1).to_pylist():
+                    tokens = shingler(text)
+                    keys = np.sort(_order_keys(tokens, levels, 1))[: prefix_length(len(tokens), percent)]
+                    found.append(np.unique((keys >> np.uint64(32)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, np.int32)], names=["node", "p"])
 
     return run
 
@@ -145,30 +229,53 @@ def _needed(a: str, b: str, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that link, compared on their whole texts."""
-    known = nodes.select("node", F.col("doc.id").alias("id"), F.col("doc.h").alias("h"))
+def _fits(percent: int) -> Column:
+    """Whether the sizes of two sets allow a link."""
+    return (F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two sets that share ``o`` tokens of their prefixes can link.
+
+    Of the set whose prefix ends first (lu and lv are the last keys), the other's tokens up to there are all in its own
+    prefix. So what that prefix doesn't share, the sets don't.
+    """
+    beyond = lambda n: F.ceil(F.lit(percent) * F.col(n) / F.lit(100)) - 1
+    most = F.when(F.col("lu") <= F.col("lv"), beyond("nu")).otherwise(beyond("nv")) + F.col("o")
+    return most >= _needed("nu", "nv", percent)
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the nodes of pairs (u, v)."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    keys = wanted.join(known, "node")
-    found = texts.join(keys, texts["h"].eqNullSafe(keys["h"]) & texts["id"].eqNullSafe(keys["id"])).select("node", "t").dropDuplicates(["node"])
-    found = cut(found)
+    keys = wanted.join(nodes, "node").select("node", F.col("doc.id").alias("id_"), F.col("doc.h").alias("h_"))
+    keys = cut(keys)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys
+    found = texts.join(keys, texts["h"].eqNullSafe(keys["h_"]) & texts["id"].eqNullSafe(keys["id_"])).select("node", "t")
+    # rows may share id and text
+    return found.dropDuplicates(["node"])
+
+
+def _compared(pairs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that link, compared on their whole texts."""
     left, right = found.select(F.col("node").alias("u"), F.col("t").alias("tu")), found.select(F.col("node").alias("v"), F.col("t").alias("tv"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part, kept = batch.slice(start, 256), []
-                for tu, tv in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    last = last if last[0] == tu else (tu, shingler(tu))
-                    x, y = last[1], shingler(tv)
+                seen: dict[int, np.ndarray] = {}
+                for u, tu, tv in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    if u not in seen:
+                        seen[u] = shingler(tu)
+                    x, y = seen[u], shingler(tv)
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     kept.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(run, "u binary, v binary")
+    return both.mapInArrow(run, "u bigint, v bigint")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -181,42 +288,52 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     """
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    shared = spark.sparkContext.broadcast(token_levels(texts, "t", n, percent))
+    shared = spark.sparkContext.broadcast(token_table(texts, n, percent))
     keyed = texts.select(F.struct("id", "h").alias("doc"), "t")
-    rows = cut(map_texts(keyed, "doc", "t", _PROFILE, _profiles(n, percent, shared)))
+    rows = cut(map_texts(keyed, "doc", "t", "set binary, n int, last bigint, p array<bigint>, at array<int>", _profiles(n, percent, shared)))
     full = rows.where("n > 0")
-    # equal sets have equal prefixes, so any row of a node will do
-    nodes = full.groupBy("node").agg(F.min(F.struct(F.col("doc.id").isNull().alias("none"), "doc")).alias("first"), F.max("n").alias("n"))
-    nodes = cut(nodes.select("node", F.col("first.doc").alias("doc"), "n"))
-    own = nodes.select("node", "doc")
-    first = full.join(own.withColumnRenamed("doc", "chosen"), "node").where(F.col("doc").eqNullSafe(F.col("chosen"))).dropDuplicates(["node"])
-    prefixes = cut(first.select("node", "n", "p1", "p2"))
-    postings = prefixes.select("node", "n", F.posexplode("p1").alias("i", "x"))
-    shares = postings.groupBy("x").agg(F.min("node").alias("u"), F.max("node").alias("other")).where("u != other").drop("other")
-    # materialised, the counts get an exchange of their own, and Spark can split the join at a hot token
-    postings = cut(postings.join(cut(shares), "x"))
+    # equal sets have equal prefixes, so the row of any one stands for the node; nodes get short numbers
+    nodes = full.groupBy("set").agg(F.min(F.struct(F.col("doc.id").isNull().alias("none"), "doc")).alias("first"), F.max("n").alias("n"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "set", F.col("first.doc").alias("doc"), "n"))
+    numbers = nodes.select("node", "set", F.col("doc").alias("chosen"))
+    placed_sets = full.where(F.size("p") > 0).join(numbers, "set").where(F.col("doc").eqNullSafe(F.col("chosen")))
+    placed_sets = placed_sets.select("node", "n", "last", "p", "at").dropDuplicates(["node"])
+    postings = placed_sets.select("node", "n", "last", F.explode_outer(F.arrays_zip("p", "at")).alias("e"))
+    postings = cut(postings.select("node", "n", "last", F.col("e.at").alias("i"), F.col("e.p").alias("x")))
+    shares = postings.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # materialised, the tokens get an exchange of their own, and Spark can split the join at a hot one
+    postings = postings.join(cut(shares), "x")
+    # the more texts share the tokens of a prefix, the closer a node is to the middle of its group
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
+    middle = F.round(F.sum(F.log("df")).over(Window.partitionBy("node")) / length, 6)
+    postings = cut(postings.withColumn("middle", middle).drop("df"))
+    leader = F.max(F.struct("middle", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("last").alias("lu"))).alias("low")
+    leaders = postings.groupBy("x").agg(leader).select("x", "low.u", "low.nu", "low.lu")
+    postings = cut(postings.join(cut(leaders), "x"))
     # step 1: one partner for each node
-    votes = postings.where("u != node").groupBy("u", "node").agg(F.count(F.lit(1)).alias("c"))
-    best = votes.groupBy("node").agg(F.max(F.struct("c", "u")).alias("b")).select(F.col("b.u").alias("u"), F.col("node").alias("v"))
+    met = postings.where("u != node").select("u", "nu", "lu", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("last").alias("lv"))
+    votes = met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("o")).where(_fits(percent) & _may_link(percent))
+    best = votes.groupBy("v").agg(F.max(F.struct("o", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
     best = cut(best)
-    links = cut(_compared(best, nodes, texts, n, percent))
+    links = cut(_compared(best, cut(_texts_of(best, nodes, texts)), n, percent))
     labels = components(links)
     # step 2: what lies across components
-    placed = postings.join(labels, "node", "left").select("x", "node", "n", "i", F.coalesce("component", "node").alias("c"))
+    placed = postings.join(labels, "node", "left").select("x", "node", "n", "last", "i", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x")
     placed = cut(placed.join(cut(split), "x", "left_semi"))
-    a = placed.select("x", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("i").alias("iu"), F.col("c").alias("cu"))
-    b = placed.select("x", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("i").alias("iv"), F.col("c").alias("cv"))
-    fits = (F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent)
-    room = 1 + F.least(F.col("iu"), F.col("iv")) + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
-    meet = a.join(b, (a["x"] == b["x"]) & (F.col("cu") < F.col("cv")) & fits & (room >= _needed("nu", "nv", percent)))
-    pairs = meet.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("o"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
-    # in the first order the pair shares o prefix tokens, and all that it shares beyond lies after the last of them
-    open_ = F.col("o") + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
-    pairs = pairs.where(open_ >= _needed("nu", "nv", percent)).select("u", "v", "nu", "nv")
-    pairs = cut(pairs.join(best.select("u", "v"), ["u", "v"], "left_anti"))
-    seconds = prefixes.select("node", "p2")
-    both = pairs.join(seconds.select(F.col("node").alias("u"), F.col("p2").alias("pu")), "u").join(seconds.select(F.col("node").alias("v"), F.col("p2").alias("pv")), "v")
+    a = placed.select("x", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("last").alias("lu"), F.col("i").alias("iu"), F.col("c").alias("cu"))
+    b = placed.select("x", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("last").alias("lv"), F.col("i").alias("iv"), F.col("c").alias("cv"))
+    # the first token that they share leaves enough room behind it in both; pairs are formed at such tokens only
+    room = lambda n, i: F.col(n) - F.col(i) >= _needed("nu", "nv", percent)
+    meet = a.join(b, (a["x"] == b["x"]) & (F.col("cu") < F.col("cv")) & _fits(percent) & room("nu", "iu") & room("nv", "iv"))
+    pairs = meet.select("u", "v", "nu", "nv", "lu", "lv").distinct().join(best.select("u", "v"), ["u", "v"], "left_anti")
+    tokens = placed_sets.select("node", "p")
+    both = pairs.join(tokens.select(F.col("node").alias("u"), F.col("p").alias("pu")), "u").join(tokens.select(F.col("node").alias("v"), F.col("p").alias("pv")), "v")
+    pairs = both.withColumn("o", F.size(F.array_intersect("pu", "pv"))).where(_may_link(percent)).select("u", "v", "nu", "nv")
+    pairs = cut(pairs)
+    found = cut(_texts_of(pairs, nodes, texts))
+    seconds = found.mapInArrow(_second_prefix(n, percent, shared), "node bigint, p array<int>")
+    both = pairs.join(seconds.select(F.col("node").alias("u"), F.col("p").alias("pu")), "u").join(seconds.select(F.col("node").alias("v"), F.col("p").alias("pv")), "v")
     # in the second order everything up to the smaller of the last keys is known of both sets
     upto = F.least(F.array_max("pu"), F.array_max("pv"))
     both = both.withColumn("upto", upto)
@@ -224,12 +341,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     met = F.size(F.array_intersect("pu", "pv"))
     most = F.least(F.col("nu") - F.size(cu) + met, F.col("nv") - F.size(cv) + met)
     both = both.where((met >= 1) & (most >= _needed("nu", "nv", percent))).select("u", "v")
-    more = cut(_compared(both, nodes, texts, n, percent))
+    more = cut(_compared(both, found, n, percent))
     labels = components(links.unionByName(more))
     # the smallest id of all rows of a component
-    member = rows.select("doc", "node", "n").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = member.where("n > 0").groupBy("c").agg(F.min("doc.id").alias("least"))
-    joined = member.where("n > 0").join(cut(least), "c").select("doc.id", "n", "least")
-    alone = member.where("n = 0").select("doc.id", "n", F.col("doc.id").alias("least"))
+    member = rows.select("doc", "set", "n").where("n > 0").join(nodes.select("node", "set"), "set").join(labels, "node", "left")
+    member = member.select("doc.id", "n", F.coalesce("component", "node").alias("c"))
+    least = member.groupBy("c").agg(F.min("id").alias("least"))
+    joined = member.join(cut(least), "c").select("id", "n", "least")
+    alone = rows.where("n = 0").select("doc.id", "n", F.col("doc.id").alias("least"))
     out = joined.unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))

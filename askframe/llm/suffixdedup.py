@@ -8,7 +8,9 @@ choose the same offset, and a string is known by its sampled suffix and what sta
 1. Sampled positions are named by their next GRAM bytes, and names that occur once drop out.
 2. The strings that chose one sampled position are neighbours, so all of them together are one run of bytes around it.
    Runs are named as a whole; where one occurs again, so do all of its strings.
-3. A run that occurs once can still share some strings with another run of its name. Only there is each string named.
+3. A run that occurs once can still share some strings with another run of its name. Only there is it taken apart, into
+   pieces of PIECE neighbouring strings, which are named as a whole and by the bytes that all of their strings share.
+4. Only pieces that occur once and whose shared bytes occur elsewhere are taken apart into strings.
 """
 
 from __future__ import annotations
@@ -20,18 +22,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askframe.llm.common import cut
 
 #: Bytes of the strings that must not repeat; of what a sampled position is named by; positions that one is sampled of.
 LENGTH, GRAM, SPAN = 200, 64, 128
+#: Strings of a piece.
+PIECE = 16
 #: Bytes looked at at a time, which bounds memory however long a text is.
 BLOCK = 1 << 20
-#: Bits of the filter for repeated names. Its size is fixed; a false bit costs time, never a result.
+#: Bits of the filters for names and places. Their size is fixed; a false bit costs time, never a result.
 BITS = 1 << 25
-#: Runs to take apart up to which their places are broadcast; beyond, both sides are shuffled.
-BROADCAST_RUNS = 300_000
-
 _LOW = np.uint64((1 << 24) - 1)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -89,78 +91,167 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["name"])
 
 
-def _slot(name: np.ndarray) -> np.ndarray:
-    return name.view(np.uint64) & np.uint64(BITS - 1)
+def _shown(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each of some numbers."""
+    slot = numbers.astype(np.uint64) & np.uint64(BITS - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _places(doc: int, at: np.ndarray) -> np.ndarray:
+    """Numbers that stand for places of a document in a filter."""
+    return _mix(np.full(len(at), doc & (2**64 - 1), np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    """128-bit digests as two columns of numbers, which take less room and sort faster than bytes."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _rows_of(batch: pa.RecordBatch, rows: list[int]) -> list[pa.Array]:
+    """Id and text hash of the given rows."""
+    at = pa.array(rows, pa.int64())
+    return [batch.column(0).take(at), batch.column(1).take(at)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            yield batch.slice(start, 512)
+
+
+def _runs_in(text: pa.Scalar, bits: np.ndarray) -> Iterator[tuple[memoryview, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs of a text whose name may repeat: its bytes from an offset, that offset, names, places, both ends."""
+    for start, part in _blocks(np.frombuffer(text.as_buffer(), np.uint8)):
+        places, names, first, last = sampled(part)
+        hit = np.flatnonzero(_shown(bits, names))
+        yield memoryview(part), start, names[hit], places[hit], first[hit], last[hit]
 
 
 def _runs(shared):
-    """Runs whose name may repeat: name, 128-bit hash of the run with the offset in it, key, first and last string."""
+    """Name, hash of the run with the offset in it, document, place, and the numbers of the document and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
+        for batch in _slices(batches):
+            rows, docs, digests, numbers = [], [], [], [[np.zeros(0, np.int64)] for _ in range(3)]
+            for row, (doc, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2), strict=True)):
+                for data, start, names, places, first, last in _runs_in(text, bits):
+                    for p, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
+                        digests.append(xxhash.xxh3_128_digest(data[a : b + LENGTH], seed=p - a))
+                    rows += [row] * len(names)
+                    docs += [doc] * len(names)
+                    for column, values in zip(numbers, (names, places + start, _places(doc, places + start)), strict=True):
+                        column.append(values)
+            name, at, number = (pa.array(np.concatenate(x)) for x in numbers)
+            columns = [name, *_halves(digests), *_rows_of(batch, rows), at, pa.array(docs, pa.int64()), number]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "r1", "r2", "id", "h", "s", "doc", "place"])
+
+    return run
+
+
+def _pieces_in(text: pa.Scalar, doc: int, bits: np.ndarray, apart: np.ndarray) -> Iterator[tuple[memoryview, int, int, int, int, int]]:
+    """Pieces of the runs at the places in ``apart``: bytes, their offset, number in the run, top, first and last string.
+
+    Piece j has the strings that begin PIECE * j to PIECE * j + PIECE - 1 before the sampled position, or those of them
+    that the run has.
+    """
+    for data, start, _, places, first, last in _runs_in(text, bits):
+        hit = _shown(apart, _places(doc, places + start))
+        for s, a, b in zip(places[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+            for j in range((s - b) // PIECE, (s - a) // PIECE + 1):
+                top = s - PIECE * j
+                yield data, start, j, top, max(a, top - PIECE + 1), min(b, top)
+
+
+def _pieces(shared):
+    """Hash of the bytes that all strings of a piece share, even where a run lacks some; of the piece; document, ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, apart = (np.frombuffer(x, np.uint8) for x in shared.value)
+        for batch in _slices(batches):
+            rows, core, whole, first, last, places = [], [], [], [], [], [np.zeros(0, np.int64)]
+            for row, (doc, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2), strict=True)):
+                begun = len(first)
+                for data, start, j, top, u, v in _pieces_in(text, doc, bits, apart):
+                    core.append(xxhash.xxh3_128_digest(data[top : top + LENGTH - PIECE + 1], seed=j))
+                    whole.append(xxhash.xxh3_128_digest(data[u : v + LENGTH], seed=top - u))
+                    first.append(u + start)
+                    last.append(v + start)
+                rows += [row] * (len(first) - begun)
+                places.append(_places(doc, np.array(first[begun:], np.int64)))
+            columns = [*_halves(core), *_halves(whole), *_rows_of(batch, rows), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "w1", "w2", "id", "h", "a", "b", "place"])
+
+    return run
+
+
+def _strings(shared):
+    """Each string of the pieces at some places, hashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, apart, again = (np.frombuffer(x, np.uint8) for x in shared.value)
+        for batch in _slices(batches):
+            rows, digests, at = [], [], []
+            for row, (doc, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2), strict=True)):
+                begun, found = len(at), [(data, start, u, v) for data, start, _, _, u, v in _pieces_in(text, doc, bits, apart)]
+                hit = _shown(again, _places(doc, np.array([start + u for _, start, u, _ in found], np.int64)))
+                for i in np.flatnonzero(hit).tolist():
+                    data, start, u, v = found[i]
+                    digests += [xxhash.xxh3_128_digest(data[p : p + LENGTH]) for p in range(u, v + 1)]
+                    at += range(u + start, v + start + 1)
+                rows += [row] * (len(at) - begun)
+            yield pa.RecordBatch.from_arrays([*_halves(digests), *_rows_of(batch, rows), pa.array(at, pa.int64())], names=["s1", "s2", "id", "h", "p"])
+
+    return run
+
+
+def _touched(keep: bool, shared):
+    """The texts with a run in ``shared``'s filter of documents, or those without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            keys, names, runs, firsts, lasts = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                whole = np.frombuffer(text.as_buffer(), np.uint8)
-                for start, part in _blocks(whole):
-                    places, name, first, last = sampled(part)
-                    slot = _slot(name)
-                    hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                    buffer = memoryview(part)
-                    for p, a, b in zip(places[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        runs.append(xxhash.xxh3_128_digest(buffer[a : b + LENGTH], seed=p - a))
-                    keys += [row] * len(hit)
-                    names.append(name[hit])
-                    firsts.append(first[hit] + start)
-                    lasts.append(last[hit] + start)
-            if keys:
-                arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in (names, firsts, lasts)]
-                doc = batch.column(0).take(pa.array(keys, pa.int64()))
-                yield pa.RecordBatch.from_arrays([arrays[0], pa.array(runs, pa.binary()), doc, arrays[1], arrays[2]], names=["name", "run", "doc", "a", "b"])
+            hit = _shown(docs, batch.column(3).to_numpy())
+            yield batch.filter(pa.array(hit if keep else ~hit))
 
     return run
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each string of the runs of a text, with its 128-bit hash as two numbers."""
-    for batch in batches:
-        for row, (text, runs) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-            data, whole = memoryview(text.as_buffer()), runs.as_py()
-            for start in range(0, len(whole), 512):
-                part = whole[start : start + 512]
-                at = [p for r in part for p in range(r["a"], r["b"] + 1)]
-                n = [r["n"] for r in part for _ in range(r["a"], r["b"] + 1)]
-                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[p : p + LENGTH]) for p in at), np.int64).reshape(-1, 2)
-                doc = batch.column(0).take(pa.array([row] * len(at), pa.int64()))
-                columns = [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), doc, pa.array(at, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "doc", "p", "n"])
-
-
-def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for offset in range(0, batch.num_rows, 256):
-            part = batch.slice(offset, 256)
+def _take_out(shared):
+    """What is left of each text once the strings of its repeated runs, and the others listed, are taken out.
+
+    ``single`` lists the sampled positions of the runs that occur once; the other runs of the text are repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in _slices(batches):
             kept, all_spans = [], []
-            for text, places in zip(part.column(1), part.column(2), strict=True):
-                data = text.as_py()
+            for text, single, places in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                data, once = text.as_py(), set(single.as_py() or [])
+                found = [(r["a"], r["b"]) for r in places.as_py() or []]
+                for _, start, _, at, first, last in _runs_in(text, bits):
+                    found += [(a + start, b + start) for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True) if p + start not in once]
                 spans: list[dict[str, int]] = []
-                for a, b in sorted((r["a"], r["b"] + LENGTH) for r in places.as_py() or []):
+                for a, b in sorted(found):
                     if spans and a <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], b)
+                        spans[-1]["end"] = max(spans[-1]["end"], b + LENGTH)
                     else:
-                        spans.append({"start": a, "end": b})
+                        spans.append({"start": a, "end": b + LENGTH})
                 ends = [0, *(s["end"] for s in spans)]
                 kept.append(b"".join(data[x:y] for x, y in zip(ends, [*(s["start"] for s in spans), len(data)], strict=True)))
                 all_spans.append(spans)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(kept, pa.binary()), pa.array(all_spans, kind)], names=["id", "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(all_spans, kind)], names=["id", "kept", "spans"])
 
+    return run
 
-def _bits(names: DataFrame) -> bytes:
-    """The filter as bytes: a bit for the slot of each name that occurs more than once."""
-    slot = F.col("name").bitwiseAND(BITS - 1) + 1  # Spark's bitmaps count from 1
-    repeated = names.groupBy("name").count().where("count > 1").select(slot.alias("slot"))
-    made = repeated.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+def _bits(numbers: DataFrame) -> bytes:
+    """The filter of a column of numbers as bytes: a bit for the slot of each."""
+    slot = F.col(numbers.columns[0]).bitwiseAND(BITS - 1) + 1  # Spark's bitmaps count from 1
+    made = numbers.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     rows = made.toArrow()
     for bucket, bits in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
@@ -168,6 +259,17 @@ def _bits(names: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _counted(df: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """Rows by ``keys`` with their number and one of them. All that is picked is numbers, so nothing needs a sort."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in kept])
+
+
+def _open(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows counted by more than ``keys``, those whose keys have several, one of them with a single occurrence."""
+    several = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("several"), F.min("n").alias("least"))
+    return counted.join(cut(several.where("several > 1 and least = 1").select(*keys)), keys, "left_semi")
+
+
 def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
@@ -181,31 +283,47 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal ids. A null id stays null; other columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    source = df.select(F.col(id_col).alias("id"), _text(text_col).alias("t"))
-    texts = source.select(F.struct("id", F.xxhash64("t").alias("h")).alias("doc"), "t").where(F.octet_length("t") >= LENGTH)
-    shared = spark.sparkContext.broadcast(_bits(texts.select("t").mapInArrow(_names, "name bigint")))
-    key = texts.schema["doc"].dataType.simpleString()
-    runs = cut(texts.mapInArrow(_runs(shared), f"name bigint, run binary, doc {key}, a bigint, b bigint"))
-    same = runs.groupBy("name", "run").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("doc", "a", "b")).alias("at"))
-    same = cut(same)
-    # names with several runs, one of which occurs once: only there can single strings repeat
-    open_ = same.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where("runs > 1 and least = 1").select("name")
-    apart = cut(same.join(open_, "name", "left_semi").select("at.*", "n"))
-    few = apart.count() <= BROADCAST_RUNS
-    listed = apart.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "n")).alias("runs"))
-    listed = listed.select(F.col("doc.id").alias("id_"), F.col("doc.h").alias("h_"), "runs")
-    on = texts["doc.h"].eqNullSafe(listed["h_"]) & texts["doc.id"].eqNullSafe(listed["id_"])
-    wanted = texts.join(F.broadcast(listed) if few else listed, on).select("doc", "t", "runs")
-    strings = cut(wanted.mapInArrow(_strings, f"s1 bigint, s2 bigint, doc {key}, p bigint, n bigint").distinct())
-    again = cut(strings.groupBy("s1", "s2").agg(F.sum("n").alias("all")).where("all > 1").select("s1", "s2"))
-    single = strings.where("n = 1").join(again, ["s1", "s2"]).select("doc", F.col("p").alias("a"), F.col("p").alias("b"))
-    repeated = cut(same.where("n > 1").select("name", "run"))
-    whole = runs.join(repeated, ["name", "run"]).select("doc", "a", "b")
-    places = whole.unionByName(single).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("places"))
-    places = places.select(F.col("doc.id").alias("id_"), F.col("doc.h").alias("h_"), "places")
-    every = source.withColumn("h", F.xxhash64("t"))
-    joined = every.join(places, every["h"].eqNullSafe(places["h_"]) & every["id"].eqNullSafe(places["id_"]), "left")
-    out = joined.select("id", "t", "places", F.octet_length("t").cast("long").alias("n_bytes"))
-    kind = source.schema["id"].dataType.simpleString()
-    done = out.mapInArrow(_take_out, f"id {kind}, n_bytes bigint, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    source = df.select(F.col(id_col).alias("id"), _text(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    texts = source.where(F.octet_length("t") >= LENGTH).select("id", "h", "t", F.xxhash64("id", "h").alias("doc"))
+    context, key = spark.sparkContext, texts.schema["id"]
+
+    def scan(make, filters, before: str, after: str) -> DataFrame:
+        """One pass over the texts. What a filter lets through by mistake is a real place, so it does no harm."""
+        numbers = lambda names: [T.StructField(x, T.LongType()) for x in names.split()]
+        out = T.StructType([*numbers(before), T.StructField("id", key.dataType), *numbers(after)])
+        return texts.mapInArrow(make(context.broadcast(filters)), out)
+
+    names = texts.select("t").mapInArrow(_names, "name bigint").groupBy("name").count().where("count > 1")
+    repeated = _bits(names.select("name"))
+    runs = cut(scan(_runs, repeated, "name r1 r2", "h s doc place"))
+    same = cut(_counted(runs, ["name", "r1", "r2"], ["id", "h", "s", "place"]))
+    # of names with several runs, one of which occurs once, one place of each run is taken apart
+    apart = _bits(_open(same, ["name"]).select("place"))
+    pieces = cut(scan(_pieces, (repeated, apart), "c1 c2 w1 w2", "h a b place"))
+    alike = cut(_counted(pieces, ["c1", "c2", "w1", "w2"], ["place"]))
+    again = _bits(_open(alike, ["c1", "c2"]).select("place"))
+    strings = cut(scan(_strings, (repeated, apart, again), "s1 s2", "h p"))
+
+    def twice(counted: DataFrame, keys: list[str]) -> DataFrame:
+        return cut(counted.where("n > 1").select(*keys))
+
+    of_string = ["s1", "s2"]
+    by_string = strings.join(twice(_counted(strings, of_string, []), of_string), of_string).select("id", "h", F.col("p").alias("a"), F.col("p").alias("b"))
+    of_piece = ["c1", "c2", "w1", "w2"]
+    by_piece = pieces.join(twice(alike, of_piece), of_piece).select("id", "h", "a", "b")
+    single = same.where("n = 1").groupBy("id", "h").agg(F.collect_set("s").alias("single"))
+    places = by_piece.unionByName(by_string).groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("places"))
+    listed = single.join(places, single["h"].eqNullSafe(places["h"]) & single["id"].eqNullSafe(places["id"]), "full")
+    listed = listed.select(F.coalesce(single["id"], places["id"]).alias("id_"), F.coalesce(single["h"], places["h"]).alias("h_"), "single", "places")
+    # only texts with a run that may repeat have to meet their lists; the others stay where they are
+    every = source.select("id", "h", "t", F.xxhash64("id", "h").alias("doc"))
+    docs = context.broadcast(_bits(runs.select("doc")))
+    some = every.mapInArrow(_touched(True, docs), every.schema)
+    joined = some.join(listed, some["h"].eqNullSafe(listed["h_"]) & some["id"].eqNullSafe(listed["id_"]), "left").select("id", "t", "single", "places")
+    rest = T._parse_datatype_string("kept binary, spans array<struct<start: bigint, end: bigint>>")
+    done = joined.mapInArrow(_take_out(context.broadcast(repeated)), T.StructType([key, *rest.fields]))
+    free = every.mapInArrow(_touched(False, docs), every.schema)
+    free = free.select("id", F.octet_length("t").cast("long").alias("n_bytes"), F.col("t").alias("kept"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    done = done.select("id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), "kept", "spans").unionByName(free)
     return done.withColumnRenamed("id", id_col)
