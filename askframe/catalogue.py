@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askframe.engine import Engine
 from askframe.functions.vectors import bucket, sign
 from askframe.operators import compare, graph, journal, profile
 from askframe.operators.joinpath import find_path
@@ -295,8 +296,41 @@ OPERATORS: dict[str, Query] = {
 }
 
 
+#: English questions, the columns of their answers that are rounded, and to how many digits.
+QUESTIONS: dict[str, tuple[str, dict[str, int]]] = {
+    "nl_orders_above": ("show orders with amount above 450000", {}),
+    "nl_how_many_orders": ("how many orders are there", {}),
+    "nl_average_order_amount": ("average order amount", {"avg_o_totalprice": 4}),
+    "nl_revenue_this_year": ("total revenue this year", {"sum_o_totalprice": 2}),
+    "nl_orders_per_status": ("count orders per status", {}),
+    "nl_revenue_by_month": ("total revenue by month", {"sum_o_totalprice": 2}),
+    "nl_parts_by_size_and_price": ("show parts with size at least 45 and retail price less than 1000", {}),
+    "nl_customers_of_segment": ("show customers where segment is building", {}),
+    "nl_customers_who_spent": ("show customers who spent more than 3 million", {"total_purchase": 2}),
+    "nl_orders_last_month": ("show orders from last month", {}),
+    "nl_sales_per_priority": ("sales per priority", {"sum_o_totalprice": 2}),
+}
+#: The day on which the questions are asked.
+ASKED_ON = date(1998, 6, 15)
+
+
+def asked(question: str, digits: dict[str, int]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        answer = (engine := Engine(star_catalog(spark, sf_dir), today=ASKED_ON)).parse(question)
+        if answer.plan is None or not answer.success:
+            raise answer.error or ValueError(question)
+        df = engine.dataframe(answer.plan)
+        kinds = dict(df.dtypes)
+        # days as text, which every reader shows alike
+        shown = lambda c: F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c)
+        return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else shown(c) for c in df.columns])
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {n: planned(p) for n, p in PLANS.items()} | {n: rounded(p, **d) for n, (p, d) in ROUNDED.items()} | OPERATORS
+    spoken = {n: asked(q, d) for n, (q, d) in QUESTIONS.items()}
+    return spoken | {n: planned(p) for n, p in PLANS.items()} | {n: rounded(p, **d) for n, (p, d) in ROUNDED.items()} | OPERATORS
 
 
 ORACLE: dict[str, str] = {
@@ -360,4 +394,15 @@ ORACLE: dict[str, str] = {
     "similar_pairs": """SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
     "result_set_diff": """SELECT o_custkey FROM orders WHERE o_totalprice > 300000 EXCEPT ALL SELECT o_custkey FROM orders WHERE o_totalprice > 400000""",
     "clean_typed_columns": """SELECT o_orderkey, CAST(CAST(REPLACE(REPLACE('$' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), '$', ''), ',', '') AS DOUBLE) AS BIGINT) AS amount FROM orders""",
+    "nl_orders_above": "SELECT * FROM orders WHERE o_totalprice > 450000",
+    "nl_how_many_orders": "SELECT COUNT(o_orderkey) AS count FROM orders",
+    "nl_average_order_amount": "SELECT ROUND(AVG(o_totalprice), 4) AS avg_o_totalprice FROM orders",
+    "nl_revenue_this_year": "SELECT ROUND(SUM(o_totalprice), 2) AS sum_o_totalprice FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1999-01-01'",
+    "nl_orders_per_status": "SELECT o_orderstatus, COUNT(o_orderkey) AS count FROM orders GROUP BY o_orderstatus",
+    "nl_revenue_by_month": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS o_orderdate, ROUND(SUM(o_totalprice), 2) AS sum_o_totalprice FROM orders GROUP BY 1",
+    "nl_parts_by_size_and_price": "SELECT * FROM part WHERE p_size >= 45 AND p_retailprice < 1000",
+    "nl_customers_of_segment": "SELECT * FROM customer WHERE LOWER(c_mktsegment) = 'building'",
+    "nl_customers_who_spent": "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total_purchase FROM orders GROUP BY o_custkey HAVING SUM(o_totalprice) > 3000000",
+    "nl_orders_last_month": "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-06-01'",
+    "nl_sales_per_priority": "SELECT o_orderpriority, ROUND(SUM(o_totalprice), 2) AS sum_o_totalprice FROM orders GROUP BY o_orderpriority",
 }

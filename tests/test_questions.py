@@ -67,7 +67,8 @@ GOLDEN = [
     ("Count orders per customer", "SELECT customer_id, COUNT(id) AS count FROM orders GROUP BY customer_id", ()),
     ("Show the latest 20 orders", "SELECT * FROM orders ORDER BY created_at DESC LIMIT ?", (20,)),
     ("Sort customers by name ascending", "SELECT * FROM customers ORDER BY name ASC", ()),
-    ("Sales by month", "SELECT created_at, SUM(amount) AS total_amount FROM orders GROUP BY date_trunc('month', created_at)", ()),
+    ("Sales by month", "SELECT date_trunc('month', created_at) AS created_at, SUM(amount) AS total_amount FROM orders GROUP BY date_trunc('month', created_at)", ()),
+    ("Sales per customer", "SELECT customer_id, SUM(amount) AS total_amount FROM orders GROUP BY customer_id", ()),
     ("Show the 5 customers with the highest total spending", "SELECT customer_id, SUM(amount) AS total_purchase FROM orders GROUP BY customer_id ORDER BY SUM(amount) DESC LIMIT ?", (5,)),
 ]
 PROPERTIES = [
