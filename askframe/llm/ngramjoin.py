@@ -306,7 +306,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     # the more texts share the tokens of a prefix, the closer a node is to the middle of its group
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
     middle = F.round(F.sum(F.log("df")).over(Window.partitionBy("node")) / length, 6)
-    postings = cut(postings.withColumn("middle", middle).drop("df"))
+    before = F.lag("x").over(Window.partitionBy("node").orderBy("i"))
+    postings = cut(postings.withColumn("middle", middle).withColumn("w", before).drop("df"))
     leader = F.max(F.struct("middle", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("last").alias("lu"))).alias("low")
     leaders = postings.groupBy("x").agg(leader).select("x", "low.u", "low.nu", "low.lu")
     postings = cut(postings.join(cut(leaders), "x"))
@@ -316,16 +317,22 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     best = votes.groupBy("v").agg(F.max(F.struct("o", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
     best = cut(best)
     links = cut(_compared(best, cut(_texts_of(best, nodes, texts)), n, percent))
-    labels = components(links)
+    # leaders stand higher in one order than those they lead, so links form trees; what lies deeper than two steps only
+    # costs comparisons below
+    up = links.select(F.col("v").alias("u"), F.col("u").alias("top"))
+    labels = links.select("u", F.col("v").alias("node")).join(up, "u", "left").dropDuplicates(["node"])
+    labels = labels.select("node", F.coalesce("top", "u").alias("component"))
     # step 2: what lies across components
-    placed = postings.join(labels, "node", "left").select("x", "node", "n", "last", "i", F.coalesce("component", "node").alias("c"))
+    placed = postings.join(labels, "node", "left").select("x", "node", "n", "last", "i", "w", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x")
     placed = cut(placed.join(cut(split), "x", "left_semi"))
-    a = placed.select("x", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("last").alias("lu"), F.col("i").alias("iu"), F.col("c").alias("cu"))
-    b = placed.select("x", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("last").alias("lv"), F.col("i").alias("iv"), F.col("c").alias("cv"))
+    a = placed.select("x", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("last").alias("lu"), F.col("i").alias("iu"), F.col("w").alias("wu"), F.col("c").alias("cu"))
+    b = placed.select("x", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("last").alias("lv"), F.col("i").alias("iv"), F.col("w").alias("wv"), F.col("c").alias("cv"))
     # the first token that they share leaves enough room behind it in both; pairs are formed at such tokens only
     room = lambda n, i: F.col(n) - F.col(i) >= _needed("nu", "nv", percent)
-    meet = a.join(b, (a["x"] == b["x"]) & (F.col("cu") < F.col("cv")) & _fits(percent) & room("nu", "iu") & room("nv", "iv"))
+    # nor at one that comes after the same shared token in both: the first that they share has others before it
+    first_met = F.col("wu").isNull() | F.col("wv").isNull() | (F.col("wu") != F.col("wv"))
+    meet = a.join(b, (a["x"] == b["x"]) & (F.col("cu") < F.col("cv")) & first_met & _fits(percent) & room("nu", "iu") & room("nv", "iv"))
     pairs = meet.select("u", "v", "nu", "nv", "lu", "lv").distinct().join(best.select("u", "v"), ["u", "v"], "left_anti")
     tokens = placed_sets.select("node", "p")
     both = pairs.join(tokens.select(F.col("node").alias("u"), F.col("p").alias("pu")), "u").join(tokens.select(F.col("node").alias("v"), F.col("p").alias("pv")), "v")
