@@ -344,7 +344,7 @@ def test_pipeline_stages(spark, docs, folder):
         kept = stage(spark, shown, folder)
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert kept.columns == columns
-            shown = kept.localCheckpoint() if False else spark.createDataFrame(kept.collect(), kept.schema)
+            shown = spark.createDataFrame(kept.collect(), kept.schema)
     out = kept.collect()
     assert all(r.round_trip for r in out) and 0 < len(out) < docs.count()
     empty = spark.createDataFrame([], SCHEMA)
