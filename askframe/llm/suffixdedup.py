@@ -33,7 +33,7 @@ PIECE = 16
 #: Bytes looked at at a time, which bounds memory however long a text is.
 BLOCK = 1 << 20
 #: Bits of the filters for names and places. Their size is fixed; a false bit costs time, never a result.
-BITS = 1 << 25
+BITS = 1 << 26
 _LOW = np.uint64((1 << 24) - 1)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -129,23 +129,22 @@ def _runs_in(text: pa.Scalar, bits: np.ndarray) -> Iterator[tuple[memoryview, in
 
 
 def _runs(shared):
-    """Name, hash of the run with the offset in it, document, place, and the numbers of the document and the place."""
+    """Name, hash of the run with the offset in it, document, place, and the place's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in _slices(batches):
-            rows, docs, digests, numbers = [], [], [], [[np.zeros(0, np.int64)] for _ in range(3)]
+            rows, digests, numbers = [], [], [[np.zeros(0, np.int64)] for _ in range(3)]
             for row, (doc, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2), strict=True)):
                 for data, start, names, places, first, last in _runs_in(text, bits):
                     for p, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
                         digests.append(xxhash.xxh3_128_digest(data[a : b + LENGTH], seed=p - a))
                     rows += [row] * len(names)
-                    docs += [doc] * len(names)
                     for column, values in zip(numbers, (names, places + start, _places(doc, places + start)), strict=True):
                         column.append(values)
             name, at, number = (pa.array(np.concatenate(x)) for x in numbers)
-            columns = [name, *_halves(digests), *_rows_of(batch, rows), at, pa.array(docs, pa.int64()), number]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "r1", "r2", "id", "h", "s", "doc", "place"])
+            columns = [name, *_halves(digests), *_rows_of(batch, rows), at, number]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "r1", "r2", "id", "h", "s", "place"])
 
     return run
 
@@ -295,14 +294,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = texts.select("t").mapInArrow(_names, "name bigint").groupBy("name").count().where("count > 1")
     repeated = _bits(names.select("name"))
-    runs = cut(scan(_runs, repeated, "name r1 r2", "h s doc place"))
+    runs = cut(scan(_runs, repeated, "name r1 r2", "h s place"))
     same = cut(_counted(runs, ["name", "r1", "r2"], ["id", "h", "s", "place"]))
     # of names with several runs, one of which occurs once, one place of each run is taken apart
     apart = _bits(_open(same, ["name"]).select("place"))
     pieces = cut(scan(_pieces, (repeated, apart), "c1 c2 w1 w2", "h a b place"))
     alike = cut(_counted(pieces, ["c1", "c2", "w1", "w2"], ["place"]))
     again = _bits(_open(alike, ["c1", "c2"]).select("place"))
-    strings = cut(scan(_strings, (repeated, apart, again), "s1 s2", "h p"))
+    # read twice: another pass over the texts costs less than keeping a row for each string
+    strings = scan(_strings, (repeated, apart, again), "s1 s2", "h p")
 
     def twice(counted: DataFrame, keys: list[str]) -> DataFrame:
         return cut(counted.where("n > 1").select(*keys))
@@ -317,7 +317,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = listed.select(F.coalesce(single["id"], places["id"]).alias("id_"), F.coalesce(single["h"], places["h"]).alias("h_"), "single", "places")
     # only texts with a run that may repeat have to meet their lists; the others stay where they are
     every = source.select("id", "h", "t", F.xxhash64("id", "h").alias("doc"))
-    docs = context.broadcast(_bits(runs.select("doc")))
+    docs = context.broadcast(_bits(runs.select(F.xxhash64("id", "h").alias("doc"))))
     some = every.mapInArrow(_touched(True, docs), every.schema)
     joined = some.join(listed, some["h"].eqNullSafe(listed["h_"]) & some["id"].eqNullSafe(listed["id_"]), "left").select("id", "t", "single", "places")
     rest = T._parse_datatype_string("kept binary, spans array<struct<start: bigint, end: bigint>>")
