@@ -46,10 +46,13 @@ _DOT = "dot|punkt|punto|point"
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OTHER = re.compile("[" + re.escape("".join([*HOMOGLYPHS, *sorted(INVISIBLE)])) + "！-～﹒﹫\U0001d400-\U0001d7ff]")
 _BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
+#: What stands between a local part and the end of a domain, with dots as signs or words.
 _SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?P<dots>(?:\s+(?:{_DOT})\s+[A-Za-z0-9-]+)+)", re.I
+    rf"(?<=[A-Za-z0-9._%+-])(?P<at>\s+(?:{_AT})\s+|\s*@\s*)(?P<domain>[A-Za-z0-9-]++(?:(?:\.|\s+(?:{_DOT})\s+)[A-Za-z0-9-]++)++)", re.I
 )
+_TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
 _SPOKEN_DOT = re.compile(rf"\s+(?:{_DOT})\s+", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])\s+(?:{_DOT})\s+(?=[0-9])", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:plus\s+)?(?:(?:{_WORDS}|[0-9]+)(?:[\s,.-]+(?=(?:{_WORDS}|[0-9])\b))?){{3,}}(?!\w)", re.I)
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,.-]+(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
 _UNIT = re.compile(rf"(?:{_WORDS})|plus|[0-9]|[\s,.-]+", re.I)
@@ -142,6 +145,34 @@ def _spelled(found: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _local_dots(text: str, at: int, last: int) -> list[tuple[int, int, str]]:
+    """Edits for the spoken dots of the local part that ends at ``at``, looked for back to ``last``."""
+    edits = []
+    back = lambda i, test: next((j for j in range(i, last, -1) if not test(text[j - 1])), last)
+    start = back(at, _LOCAL.__contains__)
+    while True:
+        end = back(start, str.isspace)
+        word = back(end, str.isalpha)
+        left = back(word, str.isspace)
+        if not (left < word < end < start and left > last and text[word:end].lower() in _DOT.split("|") and text[left - 1] in _LOCAL):
+            return edits[::-1]
+        edits.append((left, start, "."))
+        start = back(left, _LOCAL.__contains__)
+
+
+def _spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits for addresses with words for at or dot; with an at alone, the domain must end like a name, not a number."""
+    edits: list[tuple[int, int, str]] = []
+    last = 0
+    for m in _SPOKEN.finditer(text):
+        dots = [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(text, *m.span("domain"))]
+        if dots or "@" in m["at"] or _TOP.search(m["domain"]):
+            edits += _local_dots(text, m.start(), last)
+            edits += [(*m.span("at"), "@")] * (m["at"] != "@") + dots
+            last = m.end()
+    return edits
+
+
 def normalise(text: str) -> Rewrite | None:
     """The text with its disguises undone, or None if it has none of them."""
     lower = text.lower()
@@ -149,19 +180,15 @@ def normalise(text: str) -> Rewrite | None:
     dotted = any(x in lower for x in _DOT.split("|"))
     other = None if text.isascii() else _OTHER.search(text)
     spelled = _SPELLED_HINT.search(text)
-    if not (other or spelled or dotted or (bracket and _BRACKETED.search(text))):
+    if not (other or spelled or (bracket and _BRACKETED.search(text)) or (dotted and _DIGIT_DOT.search(text)) or _spoken(text)):
         return None
     out = Rewrite(text)
     if other:
         out.apply([(m.start(), m.end(), new) for m in _OTHER.finditer(text) if (new := _plain(m[0])) != m[0]])
     if bracket:
         out.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(out.text)])
-    if dotted:
-        edits = []
-        for m in _SPOKEN.finditer(out.text):
-            edits.append((*m.span("at"), "@"))
-            edits += [(*d.span(), ".") for d in _SPOKEN_DOT.finditer(out.text, *m.span("dots"))]
-        out.apply(edits)
+    out.apply(_spoken(out.text))
+    out.apply([(*m.span(), ".") for m in _DIGIT_DOT.finditer(out.text)])
     if spelled or _SPELLED_HINT.search(out.text):
         out.apply([e for m in _SPELLED.finditer(out.text) if not _digits(m[0]) == m[0] for e in _spelled(m)])
     return out if any(out.changed) or len(out.text) != len(text) else None

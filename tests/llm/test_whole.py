@@ -4,7 +4,9 @@ import random
 import re
 import textwrap
 
-from askframe.llm import licenses
+import pytest
+
+from askframe.llm import licenses, pii
 
 
 def split_words(text):
@@ -71,3 +73,21 @@ def test_licenses_across_lines(spark):
         got.setdefault(r.doc_id, {})[r.license] = (r.dice, r.n_units)
     assert got == {i: found for i, t in enumerate(texts) if (found := brute_licenses(t))}
     assert got[0] == {"MIT": (1.0, 1)} and got[2] == {"MIT": (1.0, 1)} and got[3] == {"MIT": (1.0, 2)}
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("host 192 dot 168 dot 0 dot 1 is up", ["192 dot 168 dot 0 dot 1"]),
+        ("host 192.168 dot 0.1 is up", ["192.168 dot 0.1"]),
+        ("write to name at host.com today", ["name at host.com"]),
+        ("write to name at mail.host dot com today", ["name at mail.host dot com"]),
+        ("ask john dot smith at ex dot com now", ["john dot smith at ex dot com"]),
+        ("ask john dot a.b dot smith @ ex.com now", ["john dot a.b dot smith @ ex.com"]),
+        ("open at 10.30, or 3 point 5 at 1.2m", []),
+        ("plain a@b.org", []),
+        ("a dot b at c dot d and e at f dot g", ["a dot b at c dot d", "e at f dot g"]),
+    ],
+)
+def test_spoken_dots(text, found):
+    assert [text[s:e] for _, s, e, base in pii.find(text) if not base] == found
