@@ -91,3 +91,12 @@ def test_licenses_across_lines(spark):
 )
 def test_spoken_dots(text, found):
     assert [text[s:e] for _, s, e, base in pii.find(text) if not base] == found
+
+
+def test_long_units(spark):
+    mit = licenses.TEMPLATES[0][1]
+    line = "Released under the MIT License. " * 400
+    texts = ["\n\n".join("\n".join(textwrap.wrap(mit, 60)) for _ in range(8)), line]
+    assert all(len(t) > 5000 for t in texts)
+    got = {r.doc_id: (r.license, r.dice, r.n_units) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {i: ("MIT", *brute_licenses(t)["MIT"]) for i, t in enumerate(texts)}
