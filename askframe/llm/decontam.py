@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +22,23 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def shingles(df: DataFrame, text: str, n: int, out: str) -> DataFrame:
-    """``df`` with an array of hashes, one for each ``n`` consecutive words; empty if there are fewer.
+def shingles(df: DataFrame, text: str, n: int, out: str, short: Sequence[int] = (), whole: bool = False) -> DataFrame:
+    """``df`` with an array of hashes, one for each ``n`` consecutive words.
 
+    With fewer words it is empty, or with ``whole`` one hash of all of them. One for each run of ``short`` words is added.
     Words are hashed once and shingles are hashes of those.
     """
     hashed = held(df, out, F.transform(words(text), lambda w: F.xxhash64(w)))
-    each = lambda i: F.xxhash64(*[F.get(F.col(out), i + k) for k in range(n)])
-    of = F.transform(F.sequence(F.lit(0), F.size(out) - n), each)
-    return held(hashed, out, F.when(F.size(out) >= n, of).otherwise(F.array().cast("array<bigint>")))
+    each = lambda i, k: F.xxhash64(*[F.get(F.col(out), i + j) for j in range(k)])
+    none = F.array().cast("array<bigint>")
+
+    def runs(k: int) -> Column:
+        return F.when(F.size(out) >= k, F.transform(F.sequence(F.lit(0), F.size(out) - k), lambda i: each(i, k))).otherwise(none)
+
+    value = runs(n)
+    for k in range(1, n) if whole else ():
+        value = F.when(F.size(out) == k, F.array(each(F.lit(0), k))).otherwise(value)
+    return held(hashed, out, F.concat(value, *[runs(k) for k in short]) if short else value)
 
 
 def least(n: Column, threshold: float) -> Column:
@@ -59,20 +68,22 @@ def find_leaks(
 ) -> DataFrame:
     """Pairs of a document and an item whose shingles it holds: ids, ``n_shingles``, ``n_shared`` and ``containment``.
 
-    Words are lower-cased runs of letters and digits. Items with fewer than ``n`` words have no shingles and are never
-    found, nor are null and empty texts. Rows of documents or items that share an id are compared one by one and the
+    Words are lower-cased runs of letters and digits. An item with fewer than ``n`` words is one shingle, all of it,
+    and a document holds it where the same words follow each other. Null and empty texts are never found. Rows of documents or items that share an id are compared one by one and the
     best pair of ids is returned once; a null id is an id like others. Other columns are ignored. Empty tables give an
     empty result. Documents are read without a shuffle while signatures fit BROADCAST_ROWS, searched in blocks beyond.
     """
     listed = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("t"))
-    listed = shingles(listed, "t", n, "sh").select("item_id", F.array_distinct("sh").alias("sh"))
+    # the lengths of short items, n - 1 of them at most
+    short = sorted(r[0] for r in listed.select(F.size(words("t")).alias("k")).where(F.col("k").between(1, n - 1)).distinct().collect())
+    listed = shingles(listed, "t", n, "sh", whole=True).select("item_id", F.array_distinct("sh").alias("sh"))
     listed = listed.where(F.size("sh") > 0).distinct().withColumn("n", F.size("sh"))
     listed = cut(listed.withColumn("item", F.struct(F.col("item_id"), F.xxhash64("sh").alias("h"))))
     signed = cut(signatures(listed, threshold))
     blocks = max(1, -(-signed.count() // BROADCAST_ROWS))
     key = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     texts = docs.select(key.alias("doc"), F.col(text_col).alias("t"))
-    each = shingles(texts, "t", n, "sh").select("doc", F.explode_outer("sh").alias("hash"))
+    each = shingles(texts, "t", n, "sh", short).select("doc", F.explode_outer("sh").alias("hash"))
     found = [
         each.join(F.broadcast(signed.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b)), "hash").select("doc", "item").distinct()
         for b in range(blocks)
@@ -81,7 +92,7 @@ def find_leaks(
     few = pairs.count() <= BROADCAST_ROWS
     with_pairs = pairs.select("doc").distinct()
     some = texts.join(F.broadcast(with_pairs) if few else with_pairs, "doc", "left_semi")
-    some = shingles(some, "t", n, "sh").select("doc", F.array_distinct("sh").alias("held")).dropDuplicates(["doc"])
+    some = shingles(some, "t", n, "sh", short).select("doc", F.array_distinct("sh").alias("held")).dropDuplicates(["doc"])
     wanted = listed.select("item", "n", "sh")
     both = some.join(F.broadcast(pairs) if few else pairs, "doc").join(F.broadcast(wanted) if blocks == 1 else wanted, "item")
     shared = F.size(F.array_intersect("held", "sh"))

@@ -6,7 +6,7 @@ import textwrap
 
 import pytest
 
-from askframe.llm import licenses, pii
+from askframe.llm import decontam, licenses, pii
 
 
 def split_words(text):
@@ -100,3 +100,17 @@ def test_long_units(spark):
     assert all(len(t) > 5000 for t in texts)
     got = {r.doc_id: (r.license, r.dice, r.n_units) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert got == {i: ("MIT", *brute_licenses(t)["MIT"]) for i, t in enumerate(texts)}
+
+
+def test_short_items(spark):
+    docs = [(1, "What is the capital of France, they ask"), (2, "capital France"), (3, None), (4, "Paris!"), (5, "one two three four five six seven")]
+    items = [(1, "Capital of France?"), (2, "paris"), (3, "two three four five"), (4, "one two three four five"), (5, ""), (6, "of the")]
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    runs = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    wanted = {
+        (d, i, 1, 1, 1.0)
+        for d, text in docs
+        for i, item in items
+        if (words := split_words(item)) and tuple(words) in runs(split_words(text or ""), len(words))
+    }
+    assert {tuple(r) for r in found} == wanted and len(found) == 4
