@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of texts that are handled at a time, but for a single longer one.
+SLICE_BYTES = 16 << 20
+#: Bytes of a table's Parquet files up to which it is broadcast; beyond, both sides of a join are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``rows`` rows and about SLICE_BYTES of a string or binary column."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = min(start + rows, max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_texts(
     df: DataFrame,
     key: str,
@@ -26,14 +46,15 @@ def map_texts(
 ) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` texts (null as empty) and return ``key`` beside its columns.
 
+    A slice ends early at SLICE_BYTES, so memory is bounded by that and the longest text.
+
     ``fn`` gets a list of strings and returns one Arrow array for each field of ``out_schema``. Only ``key`` and
     ``text`` are read, so other columns of ``df``, whatever their names, neither clash nor cost anything.
     """
     source = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
+            for part in slices(batch, 1, rows):
                 arrays = [part.column(0), *fn(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -42,19 +63,79 @@ def map_texts(
     return source.mapInArrow(run, out).withColumnRenamed("k", key)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every machine sees: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A lost executor then costs a re-read of files that every machine sees. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only where none is named (tests) does this choose one.
+    Only a session on one machine may do without; a cluster that names none is refused, as its executors would each
+    write to a disk of their own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and go on from there, for what a lazy result still reads.
+
+    A lost executor then costs a re-read of files that every machine sees. Spark takes the files away with the frames
+    that read them, where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, in the shared folder, and drops as soon as it has read them.
+
+    Like ``cut``, each ends the lineage before it. As Parquet they take less room than checkpoints, and readers skip the
+    columns that they don't need. The shuffle files of the plan that wrote a table go when it is written.
+    """
+
+    _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path, conf = f"{self.folder}/{uuid.uuid4().hex}", self.spark.conf
+        before = conf.get(self._SHUFFLES, "false")
+        conf.set(self._SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(self._SHUFFLES, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def small(self, table: DataFrame) -> DataFrame:
+        """A table of ``cut``, to be broadcast if its files hold BROADCAST_BYTES at most."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][1])
+        size = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(at).getLength()
+        return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``cut`` returned; nothing may read them any more."""
+        for table in tables:
+            self._delete(self.paths.pop(id(table))[1])
+
+    def close(self) -> None:
+        """Delete all that is left."""
+        self.paths.clear()
+        self._delete(self.folder)
+
+
 def hash128(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of the same values, to be used together as one 128-bit name."""
     return [F.xxhash64(F.lit(7), *columns), F.xxhash64(F.lit(1_000_003), *columns, F.lit(11))]
