@@ -88,6 +88,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    files, at = _store(spark, path)
+    files.delete(at, True)
+
+
 class Scratch:
     """Tables that an operator writes on its way, in the shared folder, and drops as soon as it has read them.
 
@@ -113,27 +125,25 @@ class Scratch:
         self.paths[id(table)] = table, path
         return table
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
     def small(self, table: DataFrame) -> DataFrame:
         """A table of ``cut``, to be broadcast if its files hold BROADCAST_BYTES at most."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][1])
-        size = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(at).getLength()
-        return F.broadcast(table) if size <= BROADCAST_BYTES else table
+        files, at = _store(self.spark, self.paths[id(table)][1])
+        return F.broadcast(table) if files.getContentSummary(at).getLength() <= BROADCAST_BYTES else table
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that ``cut`` returned; nothing may read them any more."""
         for table in tables:
-            self._delete(self.paths.pop(id(table))[1])
+            delete(self.spark, self.paths.pop(id(table))[1])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*[table for key, (table, _) in list(self.paths.items()) if key not in kept])
 
     def close(self) -> None:
         """Delete all that is left."""
         self.paths.clear()
-        self._delete(self.folder)
+        delete(self.spark, self.folder)
 
 
 def hash128(*columns: Column) -> list[Column]:

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import cut, held
+from askframe.llm.common import Scratch, cut, held
 
 #: Words of a shingle, and the share of an item's shingles that a document must hold.
 WORDS = 5
 THRESHOLD = 0.8
-#: Rows of signatures, pairs or items up to which they are broadcast. More signatures are searched in blocks of so many.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: str) -> Column:
@@ -42,8 +39,8 @@ def shingles(df: DataFrame, text: str, n: int, out: str, short: Sequence[int] =
 
 
 def least(n: Column, threshold: float) -> Column:
-    """The smallest whole number of shingles that is ``threshold`` of ``n``, free of rounding for two decimals."""
-    return F.ceil(F.lit(round(threshold * 100)) * n / F.lit(100)).cast("int")
+    """The smallest whole number of shingles that is ``threshold`` of ``n``, reckoned in millionths."""
+    return F.ceil(F.lit(round(threshold * 1_000_000)) * n.cast("long") / F.lit(1_000_000)).cast("int")
 
 
 def signatures(items: DataFrame, threshold: float) -> DataFrame:
@@ -71,41 +68,39 @@ def find_leaks(
     Words are lower-cased runs of letters and digits. An item with fewer than ``n`` words is one shingle, all of it,
     and a document holds it where the same words follow each other. Null and empty texts are never found. Rows of documents or items that share an id are compared one by one and the
     best pair of ids is returned once; a null id is an id like others. Other columns are ignored. Empty tables give an
-    empty result. Documents are read without a shuffle while signatures fit BROADCAST_ROWS, searched in blocks beyond.
+    empty result. Documents are read without a shuffle while the signatures are few bytes; beyond, both are shuffled by
+    hash, and Spark can split the join at a hot one.
     """
     listed = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("t"))
     # the lengths of short items, n - 1 of them at most
     short = sorted(r[0] for r in listed.select(F.size(words("t")).alias("k")).where(F.col("k").between(1, n - 1)).distinct().collect())
     listed = shingles(listed, "t", n, "sh", whole=True).select("item_id", F.array_distinct("sh").alias("sh"))
     listed = listed.where(F.size("sh") > 0).distinct().withColumn("n", F.size("sh"))
-    listed = cut(listed.withColumn("item", F.struct(F.col("item_id"), F.xxhash64("sh").alias("h"))))
-    signed = cut(signatures(listed, threshold))
-    blocks = max(1, -(-signed.count() // BROADCAST_ROWS))
+    scratch = Scratch(docs.sparkSession)
+    listed = scratch.cut(listed.withColumn("item", F.struct(F.col("item_id"), F.xxhash64("sh").alias("h"))))
+    signed = scratch.cut(signatures(listed, threshold))
     key = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     texts = docs.select(key.alias("doc"), F.col(text_col).alias("t"))
     each = shingles(texts, "t", n, "sh", short).select("doc", F.explode_outer("sh").alias("hash"))
-    found = [
-        each.join(F.broadcast(signed.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b)), "hash").select("doc", "item").distinct()
-        for b in range(blocks)
-    ]
-    pairs = cut(reduce(DataFrame.union, found).distinct())
-    few = pairs.count() <= BROADCAST_ROWS
-    with_pairs = pairs.select("doc").distinct()
-    some = texts.join(F.broadcast(with_pairs) if few else with_pairs, "doc", "left_semi")
+    pairs = scratch.cut(each.join(scratch.small(signed), "hash").select("doc", "item").distinct())
+    some = texts.join(scratch.small(scratch.cut(pairs.select("doc").distinct())), "doc", "left_semi")
     some = shingles(some, "t", n, "sh", short).select("doc", F.array_distinct("sh").alias("held")).dropDuplicates(["doc"])
     wanted = listed.select("item", "n", "sh")
-    both = some.join(F.broadcast(pairs) if few else pairs, "doc").join(F.broadcast(wanted) if blocks == 1 else wanted, "item")
+    both = some.join(scratch.small(pairs), "doc").join(F.broadcast(wanted) if scratch.small(listed) is not listed else wanted, "item")
     shared = F.size(F.array_intersect("held", "sh"))
     exact = both.select("doc", "item", F.col("n"), shared.alias("shared")).where(F.col("shared") >= least(F.col("n"), threshold))
     best = F.max(F.struct((F.col("shared") / F.col("n")).alias("c"), "n", "shared")).alias("best")
     ids = [F.col("doc.doc_id").alias("doc_id"), F.col("item.item_id").alias("item_id")]
-    return exact.groupBy(*ids).agg(best).select(
+    found = exact.groupBy(*ids).agg(best).select(
         F.col("doc_id").alias(id_col),
         F.col("item_id").alias(item_col),
         F.col("best.n").cast("long").alias("n_shingles"),
         F.col("best.shared").cast("long").alias("n_shared"),
         F.round("best.c", 6).alias("containment"),
     )
+    found = cut(found)
+    scratch.close()
+    return found
 
 
 #: The same pairs for the tables documents and benchmark.

@@ -14,13 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askframe.llm.common import cut, hash128
+from askframe.llm.common import BROADCAST_BYTES, Scratch, cut, hash128
 
 #: Words that a repeated run of lines must have for its later copies to go.
 MIN_WORDS = 8
-#: Removed lines up to which the list of them is broadcast to the documents; beyond, both sides are shuffled.
-BROADCAST_LINES = 500_000
-
 _DOC = ["_k", "_null", "_h"]
 
 
@@ -38,15 +35,15 @@ def _positions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line that isn't blank: document, index among those lines, line number, hash and words."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    full = F.filter(numbered, lambda s: F.trim(s["line"]) != "")
+    full = F.filter(numbered, lambda s: s["line"].rlike(r"[^ \t]"))
     rows = df.select(*doc_key(id_col, text_col), F.posexplode_outer(full).alias("_i", "_s")).where("_i is not null")
     line = F.col("_s.line")
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    words = F.size(F.array_remove(F.split(line, r"[ \t]+", -1), ""))
     a, b = hash128(line)
     return rows.select(*_DOC, "_i", F.col("_s.at").alias("_at"), a.alias("_a"), b.alias("_b"), words.alias("_w"))
 
 
-def _ranked(rows: DataFrame, keys: list[str], rank: str) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], rank: str, scratch: Scratch) -> DataFrame:
     """``rows`` whose ``keys`` occur more than once, with the keys' rank in sorted order.
 
     After a range partitioning and a sort, row numbers with the partition in their upper bits rise with the keys; they
@@ -54,21 +51,24 @@ def _ranked(rows: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """
     repeated = rows.groupBy(*keys).count().where("count > 1").drop("count")
     ordered = repeated.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(rank, F.monotonically_increasing_id())
-    return rows.join(cut(ordered), keys).drop(*keys)
+    return rows.join(scratch.cut(ordered), keys).drop(*keys)
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Document keys with ``_lines``, the numbers of the lines to remove, for the documents that lose any."""
     levels = max(0, min_words.bit_length() - 1)
-    rows = cut(_ranked(_positions(df, id_col, text_col), ["_a", "_b"], "_r0"))
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.cut(_ranked(_positions(df, id_col, text_col), ["_a", "_b"], "_r0", scratch))
+    scratch.keep(rows)
     in_doc = Window.partitionBy(*_DOC).orderBy("_i")
     for k in range(levels):
         step = 1 << k
         # lines that occur once have left gaps, so the run after this one is looked up by index
         later = rows.select(*_DOC, (F.col("_i") - step).alias("_i"), F.col(f"_r{k}").alias("_next")).where("_next is not null")
         pairs = rows.where(f"_r{k} is not null").join(later, [*_DOC, "_i"]).select(*_DOC, "_i", f"_r{k}", "_next").distinct()
-        named = _ranked(pairs, [f"_r{k}", "_next"], f"_r{k + 1}")
-        rows = cut(rows.distinct().join(named, [*_DOC, "_i"], "left"))
+        named = _ranked(pairs, [f"_r{k}", "_next"], f"_r{k + 1}", scratch)
+        rows = scratch.cut(rows.distinct().join(named, [*_DOC, "_i"], "left"))
+        scratch.keep(rows)
     # stretches of consecutive indexes, and in each the words before and with a line
     stretch = F.col("_i") - F.row_number().over(in_doc)
     runs = rows.distinct().withColumn("_g", stretch)
@@ -110,29 +110,32 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.try_element_at(F.try_element_at(F.col("run.of"), F.lit(1))["ranks"], level + 1).alias("x"),
         F.try_element_at(F.try_element_at(F.col("run.of"), (length - span + 1).cast("int"))["ranks"], level + 1).alias("y"),
     )
-    keyed = cut(keyed.where("x is not null and y is not null").distinct())
+    keyed = scratch.cut(keyed.where("x is not null and y is not null").distinct())
     place = F.struct("_null", "_k", "_h", "s")
     first_copy = keyed.groupBy("m", "x", "y").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # materialised, the first copies get an exchange of their own, and Spark can split the join at a run with many copies
-    later = keyed.join(cut(first_copy), ["m", "x", "y"]).where(F.col("first") < place)
+    later = keyed.join(scratch.cut(first_copy), ["m", "x", "y"]).where(F.col("first") < place)
     gone = later.select(*_DOC, F.explode(F.sequence("s", "e")).alias("_i")).distinct()
     numbers = rows.select(*_DOC, "_i", "_at").distinct()
-    return gone.join(numbers, [*_DOC, "_i"]).groupBy(*_DOC).agg(F.sort_array(F.collect_list("_at")).alias("_lines"))
+    found = cut(gone.join(numbers, [*_DOC, "_i"]).groupBy(*_DOC).agg(F.sort_array(F.collect_list("_at")).alias("_lines")))
+    scratch.close()
+    return found
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with the lines of later copies taken out of the text, and ``n_lines`` and ``n_removed`` added.
 
-    A run of whole lines, blank ones aside, with ``min_words`` words or more (spaces and one a line) that also starts
+    A run of whole lines, blank ones aside, with ``min_words`` words or more (split at spaces and tabs) that also starts
     earlier, in the order of id and line, is a later copy; overlapping copies within one document count too. Shorter
     repeats, blank lines and all other lines stay as they are, in order. Null texts stay null with no lines; an empty
     text is one blank line. A null id comes last in the order. Rows with equal id and text are one document: they lose
     the same lines and none for each other. Columns of the same names as the two added are replaced; an empty table
     gives an empty result. Hot lines are counted before they are joined, and the joins can be split at a hot key.
     """
-    gone = cut(repeated_lines(df, id_col, text_col, min_words))
-    size = gone.agg(F.sum(F.size("_lines"))).first()[0] or 0
-    gone = F.broadcast(gone) if size <= BROADCAST_LINES else gone
+    gone = repeated_lines(df, id_col, text_col, min_words)
+    # a row holds its key and four bytes a line
+    size = gone.agg(F.sum(F.size("_lines") * 4 + 64)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     # the row travels as one struct, so that none of its columns meets one of ours
     keyed = df.select(F.struct(*kept).alias("_row"), *doc_key(id_col, text_col))
@@ -153,8 +156,8 @@ WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), full_lines AS (
   SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i,
-         length(line) - length(replace(line, ' ', '')) + 1 AS w
-  FROM raw WHERE trim(line, ' ') != ''
+         len(list_filter(string_split_regex(line, '[ \t]+'), lambda x: x != '')) AS w
+  FROM raw WHERE regexp_matches(line, '[^ \t]')
 ), summed AS (
   SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS up_to FROM full_lines
 ), reach AS (

@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import map_texts
+from askframe.llm.common import map_texts, slices
 
 #: Samples in a row of the image that holds a payload; payloads are padded with zero bytes to a multiple of it.
 WIDTH = 64
 #: Height and width of the tiles that images are resized to.
 TILE = 16
+#: Samples that are summed at a time.
+STRIP = 1 << 20
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)")
 
@@ -68,7 +70,7 @@ def _netpbm(data: bytes) -> np.ndarray:
         values, most = 1 - values, 1
     if most != 255:
         values = (values.astype(np.int64) * 255 + most // 2) // max(1, most)
-    return values.astype(np.uint8).reshape(height, width, depth)
+    return values.astype(np.uint8, copy=False).reshape(height, width, depth)
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -111,13 +113,21 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over the area that each target cell covers, pixels cut at its borders counted in part.
 
     The sums come from one integral image, read between its entries where a border cuts a pixel, so the cost does not
-    depend on how many pixels a cell covers.
+    depend on how many pixels a cell covers. The image is summed STRIP pixels at a time and only the integral's rows at
+    the cells' borders are kept.
     """
     rows, cols, depth = image.shape
-    total = np.zeros((rows + 1, cols + 1, depth))
-    total[1:, 1:] = image.astype(np.float64).cumsum(0).cumsum(1)
     (top, dy), (left, dx) = _edges(rows, height), _edges(cols, width)
-    part = total[top] + dy[:, None, None] * (total[top + 1] - total[top])
+    wanted = np.unique(np.r_[top, top + 1])
+    total, sums = np.zeros((len(wanted), cols + 1, depth)), np.zeros((cols, depth))
+    step = max(1, STRIP // max(1, cols * depth))
+    for at in range(0, rows, step):
+        strip = image[at : at + step].cumsum(0, dtype=np.float64) + sums
+        here = (wanted > at) & (wanted <= at + len(strip))
+        total[here, 1:] = strip[wanted[here] - at - 1].cumsum(1)
+        sums = strip[-1]
+    lower, upper = total[np.searchsorted(wanted, top)], total[np.searchsorted(wanted, top + 1)]
+    part = lower + dy[:, None, None] * (upper - lower)
     part = part[:, left] + dx[None, :, None] * (part[:, left + 1] - part[:, left])
     cells = part[1:, 1:] - part[:-1, 1:] - part[1:, :-1] + part[:-1, :-1]
     return cells * (height * width / (rows * cols))
@@ -166,8 +176,8 @@ def decode_media(df: DataFrame, id_col: str, media_col: str, tile: int = TILE) -
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(start, 64), []
+            for part in slices(batch, 1, 64):
+                rows = []
                 for data in part.column(1).to_pylist():
                     try:
                         image = None if data is None else decode(data)
@@ -198,6 +208,6 @@ def texts_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``samples`` are the payload as read back: UTF-8 bytes and zero bytes up to a positive multiple of 64. Null and empty
     texts give one row of 64 zero samples. Equal texts give equal values, whatever their id. One pass, no shuffle; the
-    largest thing held is a slice of 64 texts. Repeated rows are each stored and other columns ignored.
+    largest thing held is a slice of up to 64 texts or the longest text. Repeated rows are each stored and other columns ignored.
     """
     return map_texts(df, id_col, text_col, f"media binary, {_SCHEMA}", text_images(form, tile), rows=64)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,17 +47,20 @@ DIGIT_WORDS = {
 _AT = "at|arroba|chez|ät"
 _DOT = "dot|punkt|punto|point"
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_OTHER = re.compile("[" + re.escape("".join([*HOMOGLYPHS, *sorted(INVISIBLE)])) + "！-～﹒﹫\U0001d400-\U0001d7ff]")
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT}|@)|({_DOT}|\.))\s*[\])}}>]\s*", re.I)
+_DROPPED = re.compile("[" + "".join(sorted(INVISIBLE)) + "]")
+# Every repeat that could be tried in several ways is possessive, so that a match costs no more than its text.
+#: A bracketed word for at or dot; the white space before it belongs to it as well.
+_BRACKETED = re.compile(rf"[\[({{<]\s*+(?:({_AT}|@)|({_DOT}|\.))\s*+[\])}}>]\s*+", re.I)
 #: What stands between a local part and the end of a domain, with dots as signs or words.
 _SPOKEN = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])(?P<at>\s+(?:{_AT})\s+|\s*@\s*)(?P<domain>[A-Za-z0-9-]++(?:(?:\.|\s+(?:{_DOT})\s+)[A-Za-z0-9-]++)++)", re.I
+    rf"(?<=[A-Za-z0-9._%+-])(?P<at>\s++(?:{_AT})\s++|\s*+@\s*+)(?P<domain>[A-Za-z0-9-]++(?:(?:\.|\s++(?:{_DOT})\s++)[A-Za-z0-9-]++)++)", re.I
 )
 _TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
-_SPOKEN_DOT = re.compile(rf"\s+(?:{_DOT})\s+", re.I)
-_DIGIT_DOT = re.compile(rf"(?<=[0-9])\s+(?:{_DOT})\s+(?=[0-9])", re.I)
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\s+)?(?:(?:{_WORDS}|[0-9]+)(?:[\s,.-]+(?=(?:{_WORDS}|[0-9])\b))?){{3,}}(?!\w)", re.I)
-_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,.-]+(?:{_WORDS}|[0-9]+)(?!\w)", re.I)
+_SPOKEN_DOT = re.compile(rf"\s++(?:{_DOT})\s++", re.I)
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])\s++(?:{_DOT})\s++(?=[0-9])", re.I)
+#: Three digits or more, one of them as a word, with separators only before another of them.
+_SPELLED = re.compile(rf"(?<!\w)(?:plus\s++)?(?:(?:{_WORDS}|[0-9])(?:[\s,.-]++(?=(?:{_WORDS}|[0-9]++)(?!\w)))?+){{3,}}+(?!\w)", re.I)
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,.-]++(?:{_WORDS}|[0-9]++)(?!\w)", re.I)
 _UNIT = re.compile(rf"(?:{_WORDS})|plus|[0-9]|[\s,.-]+", re.I)
 
 
@@ -102,43 +108,63 @@ def detect(text: str) -> list[Span]:
 
 
 class Rewrite:
-    """A text and, for each of its characters, the source's span that it stands for."""
+    """A text with disguises undone in steps, and the way back from its offsets to those of the source.
+
+    Each step holds four numbers for each edit (where it begins and ends in the new text and in the old one), so memory
+    grows with the edits, not with the text.
+    """
 
     def __init__(self, text: str) -> None:
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
-        self.changed = [False] * len(text)
+        self.text = text
+        self.steps: list[tuple[array, array, array, array]] = []
 
-    def apply(self, edits: list[tuple[int, int, str]]) -> None:
+    def apply(self, edits: Iterable[tuple[int, int, str]]) -> None:
         """Replace [start, end) by a text, for edits in order that don't overlap."""
-        parts: list[str] = []
-        start: list[int] = []
-        end: list[int] = []
-        changed: list[bool] = []
-        at = 0
+        columns = array("q"), array("q"), array("q"), array("q")
+        out, at, place = io.StringIO(), 0, 0
         for left, right, new in edits:
-            parts += [self.text[at:left], new]
-            start += self.start[at:left] + [self.start[left]] * len(new)
-            end += self.end[at:left] + [self.end[right - 1]] * len(new)
-            changed += self.changed[at:left] + [True] * len(new)
+            out.write(self.text[at:left])
+            out.write(new)
+            place += left - at
+            for column, value in zip(columns, (place, place + len(new), left, right), strict=True):
+                column.append(value)
+            place += len(new)
             at = right
-        if edits:
-            self.text = "".join([*parts, self.text[at:]])
-            self.start, self.end, self.changed = start + self.start[at:], end + self.end[at:], changed + self.changed[at:]
+        if columns[0]:
+            out.write(self.text[at:])
+            self.text = out.getvalue()
+            self.steps.append(columns)
+
+    def source(self, left: int, right: int) -> tuple[int, int]:
+        """The source's span that the characters from ``left`` to before ``right`` stand for."""
+        for begin, end, old_begin, old_end in reversed(self.steps):
+            i, j = bisect_right(begin, left) - 1, bisect_right(begin, right - 1) - 1
+            # of edits that leave nothing, those at the very place come before the character
+            left = left if i < 0 else old_begin[i] if left < end[i] else left - end[i] + old_end[i]
+            right = right if j < 0 else old_end[j] if right - 1 < end[j] else right - end[j] + old_end[j]
+        return left, right
 
 
 def _plain(char: str) -> str:
-    if char in INVISIBLE:
-        return ""
     wide = HOMOGLYPHS.get(char) or unicodedata.normalize("NFKC", char)
     return wide if len(wide) == 1 and wide.isascii() else char
 
 
+#: From a character to the one it is disguised as: letters alike, full-width forms and mathematical letters.
+_ALIKE = {
+    ord(c): new
+    for c in [*HOMOGLYPHS, "﹒", "﹫", *map(chr, range(0xFF01, 0xFF5F)), *map(chr, range(0x1D400, 0x1D800))]
+    if (new := _plain(c)) != c
+}
+_OTHER = re.compile("[" + re.escape("".join(map(chr, _ALIKE))) + "]")
+
+
 def _spelled(found: re.Match) -> list[tuple[int, int, str]]:
-    edits = []
-    for unit in _UNIT.finditer(found[0]):
+    edits, whole = [], found[0]
+    for unit in _UNIT.finditer(whole):
         word = unit[0].lower()
         new = "+" if word == "plus" else DIGIT_WORDS.get(word)
-        if new is None and not word.isdigit() and unit.end() < len(found[0]):
+        if new is None and not word.isdigit() and unit.end() < len(whole):
             new = ""
         if new is not None:
             edits.append((found.start() + unit.start(), found.start() + unit.end(), new))
@@ -173,32 +199,42 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    last = 0
+    for m in _BRACKETED.finditer(text):
+        left = m.start()
+        while left > last and text[left - 1].isspace():
+            left -= 1
+        last = m.end()
+        yield left, last, "@" if m[1] else "."
+
+
 def normalise(text: str) -> Rewrite | None:
     """The text with its disguises undone, or None if it has none of them."""
     lower = text.lower()
     bracket = any(x in text for x in "[({<")
     dotted = any(x in lower for x in _DOT.split("|"))
-    other = None if text.isascii() else _OTHER.search(text)
+    other = not text.isascii() and (_OTHER.search(text) or _DROPPED.search(text))
     spelled = _SPELLED_HINT.search(text)
     if not (other or spelled or (bracket and _BRACKETED.search(text)) or (dotted and _DIGIT_DOT.search(text)) or _spoken(text)):
         return None
-    out = Rewrite(text)
+    out = Rewrite(text.translate(_ALIKE) if other else text)
     if other:
-        out.apply([(m.start(), m.end(), new) for m in _OTHER.finditer(text) if (new := _plain(m[0])) != m[0]])
+        out.apply((*m.span(), "") for m in _DROPPED.finditer(out.text))
     if bracket:
-        out.apply([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(out.text)])
+        out.apply(_bracketed(out.text))
     out.apply(_spoken(out.text))
-    out.apply([(*m.span(), ".") for m in _DIGIT_DOT.finditer(out.text)])
+    out.apply((*m.span(), ".") for m in _DIGIT_DOT.finditer(out.text))
     if spelled or _SPELLED_HINT.search(out.text):
-        out.apply([e for m in _SPELLED.finditer(out.text) if not _digits(m[0]) == m[0] for e in _spelled(m)])
-    return out if any(out.changed) or len(out.text) != len(text) else None
+        out.apply(e for m in _SPELLED.finditer(out.text) if not _digits(m[0]) == m[0] for e in _spelled(m))
+    return out if out.steps or out.text != text else None
 
 
 def find(text: str) -> list[tuple[str, int, int, bool]]:
     """All spans by kind and start, with whether the base patterns found it.
 
-    A span that only the normalised text shows is added if it holds a rewritten character and overlaps no base span of
-    its kind.
+    A span that only the normalised text shows is added if it reads otherwise than the source does there and overlaps no
+    base span of its kind.
     """
     base = detect(text)
     rows = [(*x, True) for x in base]
@@ -206,10 +242,10 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
     if plain is not None:
         taken = {kind: [(s, e) for k, s, e in base if k == kind] for kind in KINDS}
         for kind, left, right in detect(plain.text):
-            start, end = plain.start[left], plain.end[right - 1]
-            # a dropped character leaves a jump in the source's offsets
-            rewritten = any(plain.changed[left:right]) or end - start != right - left
-            if rewritten and all(end <= s or start >= e for s, e in taken[kind]):
+            start, end = plain.source(left, right)
+            near = bisect_right(taken[kind], (end, -1)) - 1  # the last base span that begins before the end
+            free = near < 0 or taken[kind][near][1] <= start
+            if free and plain.text[left:right] != text[start:end]:
                 rows.append((kind, start, end, False))
     return sorted(rows, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -12,16 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import cut, map_texts
+from askframe.llm.common import Scratch, map_texts
 
 #: Labelled rows that the trees are fitted on, at most: those of the smallest hash of text and id.
 FIT_ROWS = 40_000
-#: Labelled rows up to which their ids, hashes and labels are broadcast to the texts.
-BROADCAST_ROWS = 1_000_000
-#: Entries of the learned lexicon, at most: those of the largest weight.
-LEXICON_ROWS = 20_000
-#: A term is learned if so many labelled texts hold it and its odds in toxic texts are so many times those elsewhere.
+#: A term is learned if so many toxic texts hold it and its odds in toxic texts are so many times those elsewhere. The
+#: first number is a share of all (term, toxic text) pairs where that is more, so at most LEXICON_ROWS terms of a kind can
+#: pass: nothing that passes is cut off.
 MIN_TEXTS, MIN_ODDS = 5, 8.0
+LEXICON_ROWS = 200_000
+#: Texts of each label from which those that calibrate are kept from the lexicon; fewer would cost it too much.
+MIN_APART = 25
 #: Code points of the word beginnings that are learned beside whole words, for languages that build or bend words.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
 
@@ -233,62 +234,70 @@ def remainder(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3))
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON_ROWS) -> Lexicon:
-    """Words and word beginnings whose odds are much higher in toxic texts, from columns ``t`` and ``y``.
+def learn_lexicon(rows: DataFrame, scratch: Scratch, most: int = LEXICON_ROWS) -> Lexicon:
+    """Words and word beginnings whose odds are much higher in toxic texts, from columns ``t``, ``y`` and ``times``.
 
-    The counts cover all rows given; of the terms that pass, at most ``most`` of each kind of the largest weight come to
-    the driver.
+    The counts cover all rows given; rows that stand for one text say in ``times`` how many they are. At most ``most``
+    terms of each kind pass, and all that pass come to the driver.
     """
     found = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+", -1))
-    each = rows.select("y", F.explode_outer(found).alias("w")).where("w != ''")
-    counts = cut(each.groupBy("w").agg(F.sum("y").cast("int").alias("pos"), F.count(F.lit(1)).cast("int").alias("all")))
-    total = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
+    each = rows.select(F.col("y") / F.col("times"), 1 / F.col("times"), F.explode_outer(found)).toDF("y", "one", "w").where("w != ''")
+    counted = each.groupBy("w").agg(F.round(F.sum("y")).cast("long").alias("pos"), F.round(F.sum("one")).cast("long").alias("all"))
+    counts = scratch.cut(counted)
+    total = rows.agg(F.round(F.sum(F.col("y") / F.col("times"))), F.round(F.sum(1 / F.col("times")))).first()
     pos, neg = float(total[0] or 0), float((total[1] or 0) - (total[0] or 0))
     if not pos or not neg:
         return Lexicon()
     starts = F.explode_outer(F.array(*[F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in PREFIXES]))
     stems = counts.select(starts.alias("w"), "pos", "all").where("w is not null").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("all").alias("all"))
 
-    def top(terms: DataFrame) -> dict[str, float]:
-        odds = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("all") - F.col("pos") + 0.5) / (neg + 1))
-        passed = terms.withColumn("odds", odds).where((F.col("pos") >= MIN_TEXTS) & (F.col("odds") >= MIN_ODDS))
-        best = passed.orderBy(F.desc(F.log("odds") * F.log1p("pos")), "w").limit(most)
-        return {r["w"]: math.log(r["odds"]) for r in best.select("w", "odds").collect()}
+    def passed(terms: DataFrame) -> dict[str, float]:
+        pairs = terms.agg(F.sum("pos")).first()[0] or 0
+        enough = max(MIN_TEXTS, -(-pairs // most))
+        odds = ((F.col("pos") + 0.5) / (pos + 1)) / (F.greatest(F.col("all") - F.col("pos"), F.lit(0)) + 0.5) * (neg + 1)
+        kept = terms.withColumn("odds", odds).where((F.col("pos") >= enough) & (F.col("odds") >= MIN_ODDS))
+        return {r["w"]: math.log(r["odds"]) for r in kept.select("w", "odds").orderBy("w").collect()}
 
-    return Lexicon(top(counts), top(stems))
-
-
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+    return Lexicon(passed(counts), passed(stems))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model from labelled rows, those with remainder 1 left out.
 
-    The lexicon counts all of them, equal texts once. Trees and calibration use at most ``fit_rows`` rows, those of the
-    smallest hash, and learn from different ones: three of four for the trees, the fourth for the calibration. Rows
-    without a label, an id or a text, and labels other than 0 and 1, teach nothing. Labelled ids are joined before any
-    text is: texts are only shuffled where there are more than BROADCAST_ROWS labelled rows.
+    Equal texts are one row, toxic if any of them is. A quarter of the texts, by hash, only calibrates; the lexicon
+    counts all of the others, and those too where they are fewer than MIN_APART of a label. Trees and calibration use at
+    most ``fit_rows`` texts, those of the smallest hash. Rows without a label, an id or a text, and labels other than 0
+    and 1, teach nothing; if a part lacks a label, all texts teach every step. Labelled ids are joined before any text is: texts are only shuffled where labels are many bytes.
     """
+    scratch = Scratch(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    known = scratch.cut(known.groupBy("k").agg(F.max("y").alias("y")))
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null").where(F.coalesce(remainder("k"), F.lit(1)) != 1)
     hashed = texts.withColumn("h", F.xxhash64("t"))
-    taught = cut(hashed.select("k", "h").join(_small(known.distinct()), "k"))
-    unique = cut(taught.groupBy("h").agg(F.min("k").alias("k"), F.max("y").alias("y")))
-    lexicon = learn_lexicon(hashed.join(_small(unique), ["k", "h"]).select("t", "y"))
-    # a bounded number of keys, whatever the number of labels
-    chosen = cut(taught.select("k", "h", "y", F.xxhash64("k", "h").alias("o")).orderBy("o", "y").limit(fit_rows))
-    keyed = hashed.join(F.broadcast(chosen), ["k", "h"]).select(F.struct("y", "o").alias("key"), "t")
-    rows = map_texts(keyed, "key", "t", "x array<double>", _feature_columns(lexicon)).select("key.y", "key.o", "x").collect()
-    rows.sort(key=lambda r: (r["o"], r["y"], r["x"]))
-    x, y = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], float)
-    fold = np.array([r["o"] % 4 == 0 for r in rows], bool)
-    if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:
-        fold = np.zeros(len(y), bool)
+    taught = hashed.select("k", "h").join(scratch.small(known), "k").groupBy("k", "h", "y").agg(F.count(F.lit(1)).alias("times"))
+    unique = taught.groupBy("h").agg(F.min(F.struct("k", "times")).alias("one"), F.max("y").alias("y"))
+    fold = F.pmod(F.xxhash64(F.col("h"), F.lit(3)), F.lit(4)) == 0
+    unique = scratch.cut(unique.select("h", "one.k", "one.times", "y", fold.alias("fold")))
+    parts = {(r["fold"], r["y"]): r["count"] for r in unique.groupBy("fold", "y").count().collect()}
+    apart = all(parts.get((True, label), 0) >= MIN_APART for label in (0, 1))
+    rows = hashed.join(scratch.small(unique), ["k", "h"])
+    lexicon = learn_lexicon(rows.where(~F.col("fold")) if apart else rows, scratch)
+    # a bounded number of texts, whatever the number of labels and of rows with one text
+    chosen = scratch.cut(unique.orderBy(F.xxhash64(F.col("h"), F.lit(5)), "h").limit(fit_rows))
+    keyed = hashed.join(F.broadcast(chosen), ["k", "h"]).select(F.struct("h", "y", "fold").alias("key"), "t")
+    made = map_texts(keyed, "key", "t", "x array<double>", _feature_columns(lexicon))
+    found = made.select("key.*", "x").dropDuplicates(["h"]).orderBy("h").collect()
+    if len(found) > fit_rows:
+        raise AssertionError(f"{len(found)} rows to fit on, {fit_rows} at most")
+    scratch.close()
+    x, y = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES)), np.array([r["y"] for r in found], float)
+    back = np.array([r["fold"] for r in found], bool)
     if len(set(y)) < 2:
         return Model(lexicon, None, None)
-    trees = fit_trees(x[~fold], y[~fold])
-    back = fold if fold.any() else ~fold
+    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
+        trees = fit_trees(x, y)
+        return Model(lexicon, trees, fit_isotonic(trees.margin(x), y))
+    trees = fit_trees(x[~back], y[~back])
     return Model(lexicon, trees, fit_isotonic(trees.margin(x[back]), y[back]))
 
 

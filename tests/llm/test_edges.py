@@ -138,13 +138,13 @@ def test_pii_frame(docs, rows, nothing):
 
 def brute_lines(rows, w):
     docs = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda d: (d[0], d[1]))
-    full = {d: [(i, x) for i, x in enumerate(d[2].split("\n")) if x.strip(" ")] for d in docs}
+    full = {d: [(i, x) for i, x in enumerate(d[2].split("\n")) if x.strip(" \t")] for d in docs}
     first, gone = {}, {d: set() for d in docs}
     for d in docs:
         for s in range(len(full[d])):
             for e in range(s, len(full[d])):
                 run = tuple(x for _, x in full[d][s : e + 1])
-                if sum(x.count(" ") + 1 for x in run) >= w:
+                if sum(len([y for y in re.split(r"[ \t]+", x) if y]) for x in run) >= w:
                     if run in first:
                         gone[d].update(i for i, _ in full[d][s : e + 1])
                     first.setdefault(run, (d, s))
@@ -164,7 +164,7 @@ def test_line_dedup(spark, docs, rows, nothing):
 
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(8)
-    rows = [(i, "\n".join(rng.choice(["a", "b c", "d", "", "e f g"]) for _ in range(rng.randrange(1, 25)))) for i in range(40)]
+    rows = [(i, "\n".join(rng.choice(["a", "b c", "d", "", "e f g", "        return x", "\t", " \t d"]) for _ in range(rng.randrange(1, 25)))) for i in range(40)]
     found = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found == {k[1]: v for k, v in brute_lines(rows, linededup.MIN_WORDS).items()}
 
@@ -270,7 +270,8 @@ def test_decontamination(spark, docs, rows, nothing):
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
     wanted = set()
     for doc, *rest in rows:
-        have = {tuple(words(rest[0])[i : i + 5]) for i in range(len(words(rest[0])) - 4)}
+        said = words(rest[0])
+        have = {tuple(said[i : i + 5]) for i in range(len(said) - 4)}
         for item, text in items:
             need = {tuple(words(text)[i : i + 5]) for i in range(len(words(text)) - 4)}
             if need and 100 * len(need & have) >= 80 * len(need):
