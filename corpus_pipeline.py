@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import bpe, decontam, linededup, ngramjoin, toxicity
-from askframe.llm.common import cut, table
+from askframe.llm.common import BROADCAST_BYTES, cut, delete, shared_folder, table
 
 #: Score from which a document counts as toxic and goes.
 TOXIC = 0.7
@@ -30,11 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of later copies; n_chars follows. Those that lose every full line go."""
-    left = linededup.dedup_lines(docs)
+    # the row travels as one struct, so columns named like the operator's own stay what they are
+    left = linededup.dedup_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n", " ")) == "")
     kept = left.where(~F.coalesce(emptied, F.lit(False)))
-    shown = [F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.select(*shown)
+    shown = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in shown:
+        shown["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(shown["n_chars"])
+    shown["text"] = F.col("text")
+    return kept.select(*[value.alias(c) for c, value in shown.items()])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -42,27 +46,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("key"), "text")
 
 
-def _without(docs: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """``docs`` but for the rows with a key among ``keys``, which are broadcast if there are ``most`` at most."""
-    gone = cut(keys.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= most else gone
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (own == gone["_h"]), "left_anti")
+def _meet(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with a key among ``keys`` or, as how says, without. Keys are broadcast if they are few bytes."""
+    found = cut(keys.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h")).distinct())
+    found = F.broadcast(found) if 16 * found.count() <= BROADCAST_BYTES else found
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"))
+    return row.join(found, F.col("_k").eqNullSafe(found["_id"]) & (F.col("_own") == found["_h"]), how)
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return _meet(docs, keys, "left_anti").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by five-word shingles at a similarity of 0.8: that of the smallest id.
 
-    Rows equal in id and text are one document and stay or go together; a null id comes first.
+    Of rows equal in id and text one stays: that whose other columns come first as JSON. A null id comes first.
     """
     groups = ngramjoin.link(_keyed(docs), "key", n=5, percent=80)
-    return _without(docs, groups.where(F.col("key") != F.col("component_id")), ngramjoin.BROADCAST_NODES)
+    left = _without(docs, groups.where(F.col("key") != F.col("component_id")))
+    repeated = cut(_keyed(docs).groupBy("key").count().where("count > 1").select("key"))
+    if repeated.isEmpty():
+        return left
+    again = _meet(left, repeated, "left_semi").groupBy("_k", "_own").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return _without(left, repeated).unionByName(again.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontam.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark"), "key")
-    return _without(docs, leaks, decontam.BROADCAST_ROWS)
+    return _without(docs, decontam.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark"), "key"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,17 +97,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontamination", drop_contaminated),
     ("byte_bpe", tokenize),
 ]
-#: SQL can't express a trained model, so neither the rows of run(); tests hold each stage against brute force.
+#: SQL can't express a trained model, so neither the rows of run(). tests/llm/test_stages.py holds the rows that each stage
+#: keeps against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``; what each returns is written to the shared folder and reread."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over ``documents``; what each returns is written to the shared folder and reread.
+
+    A stage's table is deleted once the next one's is written; that of the last but one is read by the result.
+    """
+    folder, docs, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
