@@ -20,7 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of texts that are handled at a time, but for a single longer one.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of the Arrow batches that go to Python workers. Spark's own limit of 64 MB, of which worker and executor hold
+#: several, is lowered to it; another setting of the session stays.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a table's Parquet files up to which it is broadcast; beyond, both sides of a join are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -36,6 +40,12 @@ def slices(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.RecordB
         start = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the size of Arrow batches to BATCH_BYTES, where the session has not been given one of its own."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def map_texts(
     df: DataFrame,
     key: str,
@@ -51,6 +61,7 @@ def map_texts(
     ``fn`` gets a list of strings and returns one Arrow array for each field of ``out_schema``. Only ``key`` and
     ``text`` are read, so other columns of ``df``, whatever their names, neither clash nor cost anything.
     """
+    small_batches(df.sparkSession)
     source = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +122,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        small_batches(spark)
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -118,7 +130,7 @@ class Scratch:
         before = conf.get(self._SHUFFLES, "false")
         conf.set(self._SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("parquet.block.size", 16 << 20).parquet(path)
         finally:
             conf.set(self._SHUFFLES, before)
         table = self.spark.read.schema(df.schema).parquet(path)
