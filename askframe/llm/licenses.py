@@ -172,7 +172,7 @@ WITH templates(license, t) AS (VALUES {rows}), numbered AS (
   SELECT doc_id, unnest(list_distinct(list_concat([text], string_split(text, chr(10)),
     list_concat(string_split_regex(replace(regexp_replace(text, '\.[ \t]+', '.' || chr(10), 'g'), chr(13), chr(13)), chr(10)), [])))) AS u FROM documents
 ), split AS (
-  SELECT doc_id, u, list_filter(string_split_regex(lower(u), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM units WHERE length(u) < 5000
+  SELECT doc_id, u, list_filter(string_split_regex(lower(u), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM units
 ), each AS (
   SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM split WHERE len(w) > 1
 ), hits AS (
