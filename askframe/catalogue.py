@@ -16,6 +16,7 @@ from askframe.operators.joinpath import find_path
 from askframe.plans.guard import capped
 from askframe.plans.lower import lower
 from askframe.plans.model import Aggregate, Column, Compare, Condition, Cte, DateRange, Having, Join, Plan, Sort, Subquery, WindowCall
+from askframe.plans.model import plan_from_json as decoded
 from askframe.retrieval import lexical, vector
 from askframe.sources.csv_ingest import whole
 from askframe.sources.tables import read_table, star_catalog
@@ -205,6 +206,19 @@ def join_path_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lower(Plan("orders", joins=path.joins, select=_cols("r_name"), aggregations=(Aggregate("COUNT", "o_orderkey", "n"),), group_by=("r_name",)), catalog)
 
 
+#: A plan as decoded JSON, with names qualified by their tables.
+JSON_PLAN: dict[str, Any] = {
+    "source": "orders",
+    "joins": [{"table": "customer", "left_column": "o_custkey", "right_column": "c_custkey"}],
+    "select": [{"name": "orders.o_orderkey"}, {"name": "customer.c_name"}],
+    "filters": [{"column": "o_totalprice", "operator": ">", "value": 440000}, {"column": "o_orderstatus", "operator": "in", "value": ["O", "F"]}],
+}
+
+
+def plan_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lower(decoded(JSON_PLAN), star_catalog(spark, sf_dir))
+
+
 def guarded_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lower(Plan("orders", select=_cols("o_orderkey"), order_by=_asc("o_orderkey")), star_catalog(spark, sf_dir))
     return capped(df, max_rows=500)
@@ -289,7 +303,7 @@ def clean_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS: dict[str, Query] = {
     f.__name__: f
     for f in (
-        join_path_multi_hop, guarded_row_cap, profile_orders, null_ratio_after_left_join, percentile_nearest_rank, lexical_overlap_topk,
+        join_path_multi_hop, plan_from_json, guarded_row_cap, profile_orders, null_ratio_after_left_join, percentile_nearest_rank, lexical_overlap_topk,
         vector_topk_cosine, vector_margin, hash_bucket, workload_shift_distance, conversation_window, feedback_prior, label_report,
         graph_bfs_depth2, similar_pairs, result_set_diff, clean_typed_columns,
     )
@@ -309,6 +323,12 @@ QUESTIONS: dict[str, tuple[str, dict[str, int]]] = {
     "nl_customers_who_spent": ("show customers who spent more than 3 million", {"total_purchase": 2}),
     "nl_orders_last_month": ("show orders from last month", {}),
     "nl_sales_per_priority": ("sales per priority", {"sum_o_totalprice": 2}),
+    "nl_orders_last_days": ("show orders from the last 7 days", {}),
+    "nl_orders_last_week": ("show orders from last week", {}),
+    "nl_orders_last_year": ("show orders from last year", {}),
+    "nl_orders_between_days": ("show orders between january 1 1998 and january 31 1998", {}),
+    "nl_orders_after_day": ("show orders after march 1", {}),
+    "nl_orders_before_day": ("show orders before 1995-01-05", {}),
 }
 #: The day on which the questions are asked.
 ASKED_ON = date(1998, 6, 15)
@@ -404,5 +424,12 @@ ORACLE: dict[str, str] = {
     "nl_customers_of_segment": "SELECT * FROM customer WHERE LOWER(c_mktsegment) = 'building'",
     "nl_customers_who_spent": "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total_purchase FROM orders GROUP BY o_custkey HAVING SUM(o_totalprice) > 3000000",
     "nl_orders_last_month": "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-06-01'",
+    "nl_orders_last_days": "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-06-09' AND o_orderdate < DATE '1998-06-16'",
+    "nl_orders_last_week": "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-06-08' AND o_orderdate < DATE '1998-06-15'",
+    "nl_orders_last_year": "SELECT * FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01'",
+    "nl_orders_between_days": "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1998-02-01'",
+    "nl_orders_after_day": "SELECT * FROM orders WHERE o_orderdate >= DATE '1998-03-02'",
+    "nl_orders_before_day": "SELECT * FROM orders WHERE o_orderdate < DATE '1995-01-05'",
+    "plan_from_json": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 440000 AND o_orderstatus IN ('O', 'F')",
     "nl_sales_per_priority": "SELECT o_orderpriority, ROUND(SUM(o_totalprice), 2) AS sum_o_totalprice FROM orders GROUP BY o_orderpriority",
 }

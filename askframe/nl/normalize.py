@@ -15,6 +15,8 @@ CONTRACTIONS = {
     "don't": "do not",
     "doesn't": "does not",
     "isn't": "is not",
+    "aren't": "are not",
+    "can't": "cannot",
 }
 _KEPT = re.compile(r"\d{4}-\d{2}-\d{2}|-?\$?\d[\d,]*(?:\.\d+)?(?:k|m|bn)?\b|[^\W_][\w']*(?:\.\d+)?|<=|>=|!=|[<>=]")
 _SIGNS = {"<": "less than", ">": "greater than", "<=": "at most", ">=": "at least", "!=": "not equal to", "=": "equal to"}

@@ -1,4 +1,4 @@
-"""Column profiles, shares and distances, by aggregations that read a table once."""
+"""Column profiles, shares and distances, by aggregations that read each column once."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SAMPLES = 12
 #: Exact distinct counts multiply the rows of an aggregation, so no more columns than these share one.
 BATCH = 5
+#: Buckets into which values are dealt to be ranked.
+BUCKETS = 64
 
 
 def null_ratio(rows: Column, full: Column) -> Column:
@@ -57,10 +59,13 @@ def samples(df: DataFrame, column: str, most: int = SAMPLES) -> DataFrame:
 def nearest_rank(df: DataFrame, column: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Values at index round((n - 1) * share) of the sorted column, halves to even.
 
-    Ranks come from counts by value, so a task holds running counts of distinct values, not the rows.
+    Ranks come from counts by value, so a task holds running counts of distinct values, not the rows. Values are dealt
+    out by limits that are fixed before anything is counted, so every use of a bucket means the same values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p"))
+    limits = sorted(set(counts.approxQuantile("v", [i / BUCKETS for i in range(1, BUCKETS)], 1 / (2 * BUCKETS))))
+    below = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col("v").cast("double"))) if limits else F.lit(0)
+    parts = counts.select("v", "n", below.alias("p"))
     before = parts.groupBy("p").agg(F.sum("n").alias("part"))
     offset = F.coalesce(F.sum("part").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = before.agg(F.coalesce(F.sum("part"), F.lit(0))).scalar()

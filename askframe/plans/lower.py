@@ -37,7 +37,7 @@ class Lowering:
     """One plan over its relations: names to columns, and clauses in the order in which SQL applies them."""
 
     def __init__(self, catalog: Catalog, scope: Mapping[str, DataFrame] | None = None) -> None:
-        self.catalog, self.frames = catalog, dict(scope or {})
+        self.catalog, self.frames, self.negated = catalog, dict(scope or {}), False
 
     def frame(self, name: str) -> DataFrame:
         return self.frames[name] if name in self.frames else self.catalog.frame(name)
@@ -111,6 +111,8 @@ class Lowering:
             inner = Lowering(self.catalog, self.frames).run(value.query)
             if operator == "EXISTS":
                 return inner.exists()
+            if operator == "NOT IN" and not self.negated:
+                return self._not_in(self._col(leaf.column), inner)
             found = self._col(leaf.column).isin(inner)
             return ~found if operator == "NOT IN" else found
         place = self._place(leaf.column)
@@ -135,11 +137,23 @@ class Lowering:
             return _COMPARE[operator](plain(column), plain(F.lit(value)))
         return _COMPARE[operator](column, self._literal(place, value))
 
+    def _not_in(self, column: SparkColumn, inner: DataFrame) -> SparkColumn:
+        """NOT IN where false and unknown are the same: an anti join on equality, which may be shuffled.
+
+        Spark's own form must see nulls, and therefore broadcasts the subquery whatever its size. Here two subqueries of
+        a single row tell whether it holds a null, and whether it is empty, in which case a null passes.
+        """
+        one = inner.toDF("__in")
+        match = one.where(F.col("__in") == column.outer()).exists()
+        return ~match & ~one.where(F.col("__in").isNull()).exists() & (column.isNotNull() | ~one.exists())
+
     def _tree(self, tree: Condition) -> SparkColumn:
         if tree.kind == "predicate":
             assert tree.predicate is not None
             return self._leaf(tree.predicate)
+        before, self.negated = self.negated, self.negated or tree.kind == "not"
         parts = [self._tree(c) for c in tree.children]
+        self.negated = before
         if tree.kind == "not":
             return ~parts[0]
         return reduce(and_ if tree.kind == "and" else or_, parts)

@@ -13,7 +13,7 @@ from askframe.retrieval import lexical
 from askframe.retrieval.documents import Document, HybridRetriever, VectorStore, document_frame, documents_of
 from askframe.sources.catalog import Catalog
 from askframe.sources.csv_ingest import read_csv, snake_case
-from askframe.sources.examples import BUSINESS, city_catalogs
+from askframe.sources.examples import BUSINESS, demo_catalogs
 from askframe.sources.tables import star_catalog
 from askframe.streaming.telemetry import windowed_hits
 from askframe.surfaces import cli
@@ -70,13 +70,13 @@ def test_join_paths(spark, folder):
 
 
 def test_graph(spark):
-    made = graph.SchemaGraph.of(city_catalogs(spark))
-    reached = made.expand(["concept:near schools"], 1)
-    assert reached["traffic.traffic_incidents.near_facility_id"] == 1
+    made = graph.SchemaGraph.of(demo_catalogs(spark))
+    reached = made.expand(["concept:near docks"], 1)
+    assert reached["rides.bike_trips.near_dock_id"] == 1
     assert all(e.source < e.target for e in made.undirected())
     nodes, edges = made.frames(spark)
-    seeds = spark.createDataFrame([("concept:near schools",)], "node string")
-    assert {r.node: r.depth for r in graph.reach(edges, seeds, 2).collect()} == made.expand(["concept:near schools"], 2)
+    seeds = spark.createDataFrame([("concept:near docks",)], "node string")
+    assert {r.node: r.depth for r in graph.reach(edges, seeds, 2).collect()} == made.expand(["concept:near docks"], 2)
     assert any(e.kind == "SIMILAR_TO" for e in made.edges) and nodes.count() == len(made.nodes)
 
 

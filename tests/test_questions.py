@@ -10,7 +10,7 @@ from askframe.functions.dates import find_ranges
 from askframe.functions.numbers import parse_number
 from askframe.nl.normalize import normalize
 from askframe.sources.catalog import Catalog
-from askframe.sources.examples import BUSINESS, city_catalogs, property_schema
+from askframe.sources.examples import BUSINESS, demo_catalogs, property_schema
 
 TODAY = date(2026, 9, 18)
 
@@ -136,8 +136,12 @@ def test_planner_payload():
 
 
 def test_routing(spark):
-    registry = RegistryEngine(city_catalogs(spark), timeout=60)
-    found = registry.execute("show all accidents")
-    assert found.dataset_id == "traffic" and len(found.rows) == 3
+    registry = RegistryEngine(demo_catalogs(spark), timeout=60)
+    found = registry.execute("show all trips")
+    assert found.dataset_id == "rides" and len(found.rows) == 3
     assert registry.parse("hello there").error.code == "AMBIGUOUS_DATASET"
-    assert registry.execute("show all schools", dataset_id="facilities").success
+    assert registry.execute("show all readings", dataset_id="weather").success
+
+
+def test_contractions():
+    assert normalize("Aren't they new? I can't say") == "are not they new i cannot say"
