@@ -60,7 +60,10 @@ _SPOKEN_DOT = re.compile(rf"\s++(?:{_DOT})\s++", re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9])\s++(?:{_DOT})\s++(?=[0-9])", re.I)
 #: Three digits or more, one of them as a word, with separators only before another of them.
 _SPELLED = re.compile(rf"(?<!\w)(?:plus\s++)?(?:(?:{_WORDS}|[0-9])(?:[\s,.-]++(?=(?:{_WORDS}|[0-9]++)(?!\w)))?+){{3,}}+(?!\w)", re.I)
-_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORDS})[\s,.-]++(?:{_WORDS}|[0-9]++)(?!\w)", re.I)
+#: A number word before another or digits, in lower case: without a flag for case, a search skips to letters that begin one.
+_SPELLED_HINT = re.compile(rf"(?:{_WORDS})(?=[\s,.-]++(?:{_WORDS}|[0-9]++)(?!\w))")
+#: Letters that patterns without case take for i and s, though lower() doesn't.
+_FOLDED = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 _UNIT = re.compile(rf"(?:{_WORDS})|plus|[0-9]|[\s,.-]+", re.I)
 
 
@@ -156,7 +159,17 @@ _ALIKE = {
     for c in [*HOMOGLYPHS, "﹒", "﹫", *map(chr, range(0xFF01, 0xFF5F)), *map(chr, range(0x1D400, 0x1D800))]
     if (new := _plain(c)) != c
 }
-_OTHER = re.compile("[" + re.escape("".join(map(chr, _ALIKE))) + "]")
+#: A set, as a pattern's class goes through all characters beyond the first plane one by one.
+_OTHER = frozenset(map(chr, _ALIKE))
+
+
+def _hints(text: str) -> bool:
+    """Whether a number word, in any case and not inside a longer word, stands before another one or digits."""
+    if not text.isascii():
+        for letter, plain in _FOLDED:
+            text = text.replace(letter, plain)
+    lower = text.lower()
+    return any(not (m.start() and re.match(r"\w", lower[m.start() - 1])) for m in _SPELLED_HINT.finditer(lower))
 
 
 def _spelled(found: re.Match) -> list[tuple[int, int, str]]:
@@ -214,8 +227,8 @@ def normalise(text: str) -> Rewrite | None:
     lower = text.lower()
     bracket = any(x in text for x in "[({<")
     dotted = any(x in lower for x in _DOT.split("|"))
-    other = not text.isascii() and (_OTHER.search(text) or _DROPPED.search(text))
-    spelled = _SPELLED_HINT.search(text)
+    other = not text.isascii() and (not _OTHER.isdisjoint(text) or _DROPPED.search(text))
+    spelled = _hints(text)
     if not (other or spelled or (bracket and _BRACKETED.search(text)) or (dotted and _DIGIT_DOT.search(text)) or _spoken(text)):
         return None
     out = Rewrite(text.translate(_ALIKE) if other else text)
@@ -225,7 +238,7 @@ def normalise(text: str) -> Rewrite | None:
         out.apply(_bracketed(out.text))
     out.apply(_spoken(out.text))
     out.apply((*m.span(), ".") for m in _DIGIT_DOT.finditer(out.text))
-    if spelled or _SPELLED_HINT.search(out.text):
+    if spelled or _hints(out.text):
         out.apply(e for m in _SPELLED.finditer(out.text) if not _digits(m[0]) == m[0] for e in _spelled(m))
     return out if out.steps or out.text != text else None
 
