@@ -257,3 +257,18 @@ def test_scratch_leaves_nothing(spark):
     assert b.count() == 5 and len(scratch.paths) == 1
     scratch.close()
     assert not scratch.paths
+
+
+def test_number_words_are_hinted_at_in_any_case():
+    import re
+
+    from askframe.llm import pii
+
+    words = pii._WORDS
+    whole = re.compile(rf"(?<!\w)(?:{words})[\s,.-]++(?:{words}|[0-9]++)(?!\w)", re.I)
+    firsts = ["one", "xone", "One", "fıve", "SİX", "ſix", "FÜNF", "un", "_un", "éun"]
+    for first in firsts:
+        for gap in (" ", "", ", -", "x"):
+            for second in ("two", "TWO", "12", "12a", "١", ""):
+                for text in (first + gap + second, f"a {first}{gap}{second}.", f"{first}{gap}{second}{gap}three"):
+                    assert pii._hints(text) == bool(whole.search(text)), text
